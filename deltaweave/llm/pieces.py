@@ -157,8 +157,8 @@ def _replace(data: np.ndarray, offsets: np.ndarray, chars: CharsMap) -> tuple[np
         lens.append(size + hi - at)
     off = np.concatenate(([0], np.cumsum(np.array(lens, dtype=np.int64))))
     if not parts:
-        return data, off, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(parts), off, np.concatenate(begins), np.concatenate(ends)
+        return data, np.zeros(0, np.int64), np.zeros(0, np.int64), off
+    return np.concatenate(parts), np.concatenate(begins), np.concatenate(ends), off
 
 
 class Model:
@@ -220,7 +220,7 @@ class Model:
         bounds = np.concatenate(([0], np.cumsum(sizes)))
         for i in np.unique(np.searchsorted(bounds, np.flatnonzero(flat == self.unknown), side="right") - 1).tolist():
             # unknown pieces cover what the library says
-            surf = [len(p.surface.encode()) for p in self.sp.encode(words[i].decode("utf-8", "replace"), out_type="immutable_proto").pieces]
+            surf = [len(p.surface.encode()) for p in self.sp.encode(words[i].decode("utf-8", "replace"), return_type="proto").pieces]
             size[bounds[i] : bounds[i + 1]] = surf
         total = np.concatenate(([0], np.cumsum(size)))
         self.ids[at:need] = flat

@@ -28,7 +28,7 @@ def test_ids_and_spans_equal_the_library(texts):
     lib = sp.SentencePieceProcessor(model_file=S.MODEL)
     m, data, off, (ids, b, e, bounds, *_) = encode(texts)
     for k, t in enumerate(texts):
-        want = lib.encode(t, out_type="immutable_proto").pieces
+        want = lib.encode(t, return_type="proto").pieces
         assert ids[bounds[k] : bounds[k + 1]].tolist() == [p.id for p in want]
         raw = t.encode()
         at = 0
