@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from deltaweave.llm import line_dedup, minhash, mixing, pieces, quality_rules
+from deltaweave.llm import classifier, line_dedup, minhash, mixing, pieces, quality_rules, secret_scan, substring_dedup
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 LONG = " ".join(f"w{i % 997}x{i % 31}" for i in range(60_000))
@@ -29,6 +29,10 @@ OPERATORS = {
     "rules": quality_rules.kept_with_distance,
     "rules rows": lambda d: quality_rules.keep_good(d, least=3),
     "pieces": pieces.encode,
+    "secrets": secret_scan.find_secrets,
+    "passages": substring_dedup.repeated_passages,
+    "passages cut": substring_dedup.without_repeats,
+    "classifier": lambda d: classifier.classify(d, d.sparkSession.createDataFrame([(1, 1, 0), (2, 0, None), (None, 1, 1), (3, None, None), (5, 1, 0), (5, 1, 0)], "doc_id bigint, quality int, toxic int")),
 }
 
 
