@@ -77,7 +77,7 @@ def to_strings(data: np.ndarray, offsets: np.ndarray, mask: np.ndarray | None =
     return out.cast(pa.string()) if offsets[-1] < 2**31 - 1 else out
 
 
-def pieces(offsets: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts, each of about limit bytes or of one longer text."""
     i, n = 0, len(offsets) - 1
     while i < n:
