@@ -154,8 +154,10 @@ class Field:
             hit = {"==": F.abs(self.column - F.lit(y)) < F.lit(TOLERANCE), ">=": self.column >= y, "<=": self.column <= y, ">": self.column > y, "<": self.column < y}[op]
             if op == "==" and y == int(y) and abs(y) < 2**53:
                 hit = self.column == F.lit(int(y))  # pushed down to the scan
-            return F.coalesce(hit, F.lit(False))
+            return self.column.isNotNull() & hit  # never null, and still pushed down
         if self.kind == "string":
+            if number(c.value) is None and op == "==":
+                return self.column.isNotNull() & (self.column == F.lit(c.value))
             return F.coalesce(_value_test(c, op)(self.column), F.lit(False))
         if number(c.value) is None and op == "==":
             return F.coalesce(F.array_contains(self.column, F.lit(c.value)), F.lit(False))

@@ -54,12 +54,8 @@ def fold(value, changes: list[dict]):
     return value
 
 
-class _Gone:
-    def __repr__(self) -> str:
-        return "gone"
-
-
-_GONE = _Gone()
+class _GONE:
+    """Stands for no value; a class, as workers then have the same one."""
 
 
 def _json(v) -> str:

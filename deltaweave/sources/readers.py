@@ -4,7 +4,7 @@
     spark.read.format("weave_records").load(folder)
 
 Records are read up to their first 4096 bytes only, and in partitions of many
-files. Filters on record_id are pushed down to the file names.
+files. A filter on path opens that file only.
 """
 
 from __future__ import annotations
@@ -55,23 +55,26 @@ def record_row(path: str, limit: int = wire.RECORD_LIMIT) -> tuple:
 
 class _RecordReader(DataSourceReader):
     def __init__(self, folder: str, per_task: int):
-        self.folder, self.per_task, self.ids = folder, per_task, None
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("path",):
-                self.ids = {f.value}
-            yield f  # checked again by Spark
+        self.folder, self.per_task, self.only = folder, per_task, None
 
     def partitions(self) -> list[Files]:
-        paths = _eml(self.folder)
-        return _batches([p for p in paths if self.ids is None or p in self.ids], self.per_task)
+        return _batches([p for p in _eml(self.folder) if self.only in (None, p)], self.per_task)
 
     def read(self, partition: Files) -> Iterator[tuple]:
         for p in partition.paths:
             yield record_row(p)
 
 
+class _PushingReader(_RecordReader):
+    """Opens one file only where the path is given; for sessions that push filters down to Python."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("path",):
+                self.only = f.value
+            yield f  # checked again by Spark
+
+
 class _RecordWriter(DataSourceWriter):
     def __init__(self, folder: str, product: str):
         self.folder, self.product = folder, product
@@ -96,7 +99,8 @@ class RecordSource(DataSource):
         return RECORDS
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _RecordReader(self.options["path"], int(self.options.get("filesPerTask", FILES_A_TASK)))
+        kind = _PushingReader if self.options.get("pushdown", "false") == "true" else _RecordReader
+        return kind(self.options["path"], int(self.options.get("filesPerTask", FILES_A_TASK)))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         return _RecordWriter(self.options["path"], self.options.get("product", wire.PRODUCT))
@@ -173,7 +177,8 @@ def register(spark: SparkSession) -> None:
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
     register(spark)
-    return spark.read.format("weave_records").load(folder)
+    push = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("weave_records").option("pushdown", push).load(folder)
 
 
 def containers(spark: SparkSession, path: str, table: str = "containers", **options: str) -> DataFrame:
@@ -280,6 +285,6 @@ def posts(spark: SparkSession, folder: str) -> DataFrame:
     name = F.regexp_extract("path", r"([^/]+)\.eml$", 1)
     body = containers(spark, folder, "sections").where("id = 'body'").groupBy("path").agg(F.min_by(F.struct("enc", "payload"), "section_no").alias("b")).select("path", F.decode(decoded(F.col("b.enc"), F.col("b.payload")), "UTF-8").alias("body"))
     ts = F.trim(header_column(F.col("headers"), "X-Timestamp")).try_cast("bigint")
-    tags = F.transform(F.split(header_column(F.col("headers"), "X-Tag"), ","), F.trim)
+    tags = F.transform(F.split(header_column(F.col("headers"), "X-Tag"), ","), lambda t: F.trim(t))
     rows = c.select("path", name.alias("name"), F.coalesce(header_column(F.col("headers"), "Subject"), name).alias("title"), F.coalesce(ts, F.lit(0)).cast("bigint").alias("ts"), F.coalesce(tags, F.array().cast("array<string>")).alias("tags"))
     return rows.join(body, "path", "left").select("name", "title", "ts", "tags", F.coalesce("body", F.lit("")).alias("body")).orderBy(F.desc("ts"), "name")

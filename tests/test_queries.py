@@ -1,5 +1,6 @@
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -17,7 +18,7 @@ def duck(data):
 
 
 def rows(pdf):
-    plain = lambda v: None if v is None or isinstance(v, float) and np.isnan(v) else f"{v:.9g}" if isinstance(v, float) else str(v)
+    plain = lambda v: None if v is None or v is pd.NA or isinstance(v, float) and np.isnan(v) else f"{v:.9g}" if isinstance(v, float) else str(v)
     return sorted(tuple(str(plain(v)) for v in r) for r in pdf[sorted(pdf.columns)].itertuples(index=False, name=None))
 
 

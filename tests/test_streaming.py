@@ -69,13 +69,16 @@ def test_advance_checks_the_chain():
     assert replicate.advance((1, "h"), {1: block}, None)[2] == 1
 
 
-def game(state, event):
-    if event["event"] == "MOVE":
-        return [{"op": "set", "table": "state", "key": k, "value": state.get(k, 0) + event.get("d" + k, 0)} for k in "xy"], []
-    if event["event"] == "FIRE":
-        n = state.get("shots", 0) + 1
-        return [{"op": "set", "table": "state", "key": "shots", "value": n}], [{"to": "<view>", "event": "SHOT", "data": {"shots": n}}]
-    return [], []
+def make_game():
+    def game(state, event):
+        if event["event"] == "MOVE":
+            return [{"op": "set", "table": "state", "key": k, "value": state.get(k, 0) + event.get("d" + k, 0)} for k in "xy"], []
+        if event["event"] == "FIRE":
+            n = state.get("shots", 0) + 1
+            return [{"op": "set", "table": "state", "key": "shots", "value": n}], [{"to": "<view>", "event": "SHOT", "data": {"shots": n}}]
+        return [], []
+
+    return game
 
 
 def test_events_change_state_and_emit(spark, tmp_path):
@@ -87,7 +90,7 @@ def test_events_change_state_and_emit(spark, tmp_path):
     done = []
 
     def once():
-        q = runner.run(runner.bus(spark, str(bus)), {"game": game}, {"game": {"x": 42, "y": 108, "shots": 0}})
+        q = runner.run(runner.bus(spark, str(bus)), {"game": make_game()}, {"game": {"x": 42, "y": 108, "shots": 0}})
 
         def batch(df, epoch):
             done.extend(df.collect())
