@@ -7,7 +7,7 @@ from deltaweave.llm import html_text as H
 
 def test_blocks():
     page = "<!DOCTYPE html><head><title>no</title></head><p>One <b>two</b>&amp;<a href='x'>three four</a><script>var t='</p>'</script><div>five<!-- <p>no</p> -->six<br>seven"
-    assert H.blocks(page) == [("One two&three four", 3, 2), ("five six", 2, 0), ("seven", 1, 0)]
+    assert H.blocks(page) == [("One two&three four", 3, 2), ("fivesix", 1, 0), ("seven", 1, 0)]
     assert H.blocks("plain text") == [("plain text", 2, 0)] and H.blocks("") == [] and H.blocks("<a") == [("<a", 1, 0)]
     assert H.blocks("a < b and c > d") == [("a < b and c > d", 7, 0)]
 
@@ -39,7 +39,7 @@ def test_held_out_pages(spark, data):
 
 def test_odd_pages(spark):
     df = spark.createDataFrame([(1, None, None), (None, "u", ""), (2, "u", "x" * 200_000 + "<p>" * 5000), (2, "u", "<a href='\">' <")], "page_id bigint, url string, html string")
-    got = {(r.page_id, r.text if r.text is None else r.text[:1], r.n_blocks) for r in H.extract(df).collect()}
-    assert (1, None, 0) in got and (None, "", 0) in got and len(got) == 4
+    got = [(r.page_id, r.text if r.text is None else r.text[:1], r.n_blocks) for r in H.extract(df).collect()]
+    assert (1, None, 0) in got and (None, "", 0) in got and got.count((2, "", 1)) == 2  # single words are no content
     assert H.extract(df.limit(0)).count() == 0
     assert H.extract(df.selectExpr("*", "1 as text", "2 as HTML", "3 as n_blocks")).count() == 4
