@@ -99,6 +99,11 @@ def mime_of(path: str) -> str:
     return MIME.get(m[1].lower(), OTHER_MIME) if m else OTHER_MIME
 
 
+def is_text(col: Column) -> Column:
+    """Whether a section's text can be printed: no control characters but tabs and line ends."""
+    return ~col.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{FFFD}]")
+
+
 # --- dates -------------------------------------------------------------------
 
 

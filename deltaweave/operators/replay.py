@@ -8,8 +8,9 @@ any sort of the log; only keys with list operations are folded in order.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,26 +63,43 @@ def _json(v) -> str:
     return json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-def _fold_group(strict: bool):
-    def f(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "writer", "arrival"], kind="stable", na_position="first")
-        none = lambda x: None if x is None or x != x else x
-        base = [none(v) for v in pdf.loc[pdf["op"] == "base", "value"]]
-        rows = [{"op": r.op, "value": None if none(r.value) is None else json.loads(r.value), "id": none(r.id), "after": none(r.after)} for r in pdf[pdf["op"] != "base"].itertuples()]
+def _fold_sorted(strict: bool):
+    """Values of rows sorted by key and then in order, base first; a partition streams through, one key at a time."""
+
+    def closed(key: tuple, base, rows: list[dict]) -> tuple | None:
         try:
-            v = fold(json.loads(base[0]) if base and base[0] is not None else _GONE, rows)
-            err = None
+            v = fold(_GONE if base is None else json.loads(base), rows)
         except ReplayError as e:
             if strict:
                 raise ReplayError(f"{'/'.join(map(str, key))}: {e}") from e
-            v, err = _GONE, str(e)
-        if v is _GONE and err is None:
-            return pd.DataFrame([], columns=["entity", "tbl", "key", "value", "error"])
-        return pd.DataFrame([(*key, None if err else _json(v), err)], columns=["entity", "tbl", "key", "value", "error"])
+            return (*key, None, str(e))
+        return None if v is _GONE else (*key, _json(v), None)
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, base, rows = None, None, []
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                now = (r["entity"], r["tbl"], r["key"])
+                if now != key:
+                    if key is not None and (got := closed(key, base, rows)):
+                        out.append(got)
+                    key, base, rows = now, None, []
+                if r["op"] == "base":
+                    base = r["value"]
+                else:
+                    rows.append({"op": r["op"], "value": None if r["value"] is None else json.loads(r["value"]), "id": r["id"], "after": r["after"]})
+            yield _state_batch(out)
+        if key is not None and (got := closed(key, base, rows)):
+            yield _state_batch([got])
 
     return f
 
 
+def _state_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(5)], names=["entity", "tbl", "key", "value", "error"])
+
+
 def materialise(deltas: DataFrame, base: DataFrame | None = None, strict: bool = True) -> DataFrame:
     """(entity, tbl, key, value) after all changes, value as JSON text; with strict off, also error.
 
@@ -97,7 +115,10 @@ def materialise(deltas: DataFrame, base: DataFrame | None = None, strict: bool =
     order = F.struct("ts", "writer", "arrival")
     last = rows.groupBy(*KEY).agg(F.max_by(F.struct("op", "value"), order).alias("last"), F.bool_and(simple).alias("simple"))
     fast = last.where("simple and last.op <> 'del'").select(*KEY, F.col("last.value").alias("value"), F.lit(None).cast("string").alias("error"))
-    slow = rows.join(last.where("not simple").select(*KEY), KEY, "left_semi").groupBy(*KEY).applyInPandas(_fold_group(strict), STATE + ", error string")
+    lists = rows.join(last.where("not simple").select(*KEY), KEY, "left_semi").select(*[F.col(k).cast("string") for k in KEY], "op", "value", "id", "after", (F.col("op") != "base").alias("_later"), "ts", "writer", "arrival")
+    # by a hash of the key: an exchange by the key itself counts as redundant above the union, whose partitions adaptive execution then merges differently
+    lists = lists.repartition(F.xxhash64(*KEY)).sortWithinPartitions(*KEY, "_later", "ts", "writer", "arrival")
+    slow = lists.select(*KEY, "op", "value", "id", "after").mapInArrow(_fold_sorted(strict), STATE + ", error string")
     out = fast.unionByName(slow)
     return out.drop("error") if strict else out
 

@@ -209,6 +209,18 @@ def _post_tags(s: SparkSession, d: str) -> DataFrame:
     return store.tag_members(posts).select("tag", F.array_join("names", ",").alias("names"))
 
 
+def _list_replay(s: SparkSession, d: str) -> DataFrame:
+    """Conversations as lists to which every role adds its turns: replayed in order, one row an element."""
+    c = A.table(s, d, "conversations")
+    none = F.lit(None).cast("string")
+    log = c.select(F.col("conv_id").cast("string").alias("entity"), F.lit("doc").alias("tbl"), F.lit("lines").alias("key"), F.lit("add").alias("op"), F.to_json(F.struct("text")).alias("value"), F.col("turn").alias("ts"), F.col("role").alias("writer"), F.col("turn").cast("int").alias("arrival"), F.concat("role", F.lit("#"), F.col("turn").cast("string")).alias("id"), none.alias("after"))
+    return replay.list_values(replay.materialise(log)).select(F.col("entity").cast("bigint").alias("conv_id"), "place", "id", F.get_json_object("v", "$.text").alias("text"))
+
+
+def _shown(s: SparkSession, d: str) -> DataFrame:
+    return A.table(s, d, "pages").select("page_id", T.is_text(F.concat("html", F.when(F.col("page_id") % 5 == 0, F.lit("\x01")).otherwise(""))).alias("is_text"))
+
+
 def _encrypt(s: SparkSession, d: str) -> DataFrame:
     key = F.unhex(F.sha2(F.lit("pass"), 256))
     c = A.table(s, d, "conversations")
@@ -258,6 +270,8 @@ def queries() -> dict[str, Query]:
         "json_canonical": _canonical,
         "doc_lines": _doc_lines,
         "line_sets": _line_sets,
+        "list_replay": _list_replay,
+        "text_test": _shown,
         "memory_last_turn": _memory,
         "civil_time": _dates,
         "html_escape": _escape,
@@ -327,6 +341,12 @@ select event_id, case when known then 'applied' when bool_and(good) over (partit
         "doc_lines": "select doc_id, unnest(range(len(string_split(text, chr(10)))))::int as place, unnest(string_split(text, chr(10))) as line from documents",
         "line_sets": """with l as (select doc_id as doc, unnest(string_split(text, chr(10))) as text from documents where doc_id < 300), a as (select * from l where length(text) % 5 <> 0), b as (select * from l where length(text) % 3 <> 0)
 select *, 'added' as change from (select * from b except all select * from a) union all select *, 'removed' from (select * from a except all select * from b)""",
+        "list_replay": "select conv_id, (row_number() over (partition by conv_id order by turn, role) - 1)::int as place, role || '#' || turn as id, text from conversations",
+        "text_test": "select page_id, page_id % 5 <> 0 as is_text from pages",
+        "entropy_blocks": """with b as (select doc_id, hex(encode(text)) as h from documents where length(text) > 0), y as (select doc_id, length(h) // 2 as n, h, unnest(range(length(h) // 2)) as i from b),
+c as (select doc_id, n, i // 4096 as block, substr(h, 2 * i + 1, 2) as byte, count(*) as k from y group by all), t as (select *, sum(k) over (partition by doc_id, block) as total from c)
+select doc_id::varchar as path, block, block * 4096 as "begin", least((block + 1) * 4096, any_value(n)) as "end", round(-sum(k / total * log2(k / total)), 5) as entropy from t group by doc_id, block""",
+        "printable_strings": "select doc_id::varchar as path, count(*) as n, sum(length(s))::bigint as bytes from (select doc_id, unnest(regexp_extract_all(text, '[ -~]{6,}')) as s from documents) group by doc_id",
         "memory_last_turn": "select conv_id, arg_max(text, turn) as text, max(turn) as turn from conversations group by conv_id",
         "civil_time": f"select event_id, strftime(ts, '%Y-%m-%d %H:%M') || ' UTC' as time, {secs} as seconds, 'd' || ({secs} // 86400) || strftime(ts, ' %H:%M') as day from events",
         "html_escape": f"select page_id, {esc} as escaped from pages",

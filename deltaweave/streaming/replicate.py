@@ -115,3 +115,15 @@ def exchange(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     from ..operators.replay import manifest, missing
 
     return missing(b, manifest(a)), missing(a, manifest(b))
+
+
+def converge(logs: list[DataFrame]) -> DataFrame:
+    """The log that peers agree on once each has what any of them has: every (entity, writer, seq) once."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, logs).dropDuplicates(["entity", "writer", "seq"])
+
+
+def converge_every(stream: DataFrame, path: str, checkpoint: str, seconds: int = 10):
+    """Keeps pulling a stream of applied blocks into a container file; gives the running query."""
+    return stream.writeStream.foreachBatch(append_to(path)).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
