@@ -12,7 +12,7 @@ from .sources.readers import containers
 
 
 def init(path: str, entity: str = "doc@system.local") -> None:
-    wire.write_file(path, wire.build(entity, "doc", [wire.Section("doc", "application/json", "doc.json", b'{"lines":[]}')]))
+    wire.write_file(path, wire.build(entity, replay.DOC, [wire.Section.table(replay.DOC, {replay.LINES: []})]))
 
 
 def change(path: str, delta: dict, writer: str = wire.LOCAL) -> int:

@@ -36,7 +36,7 @@ def session_key(spark) -> bytes | None:
     return key_from(spark.conf.get(KEY_CONF, None), spark.conf.get(PASS_CONF, None))
 
 
-# --- AES-256-GCM without a library: counter mode and GHASH over AES ---------
+# --- AES-256-GCM without a library: counter mode and GHASH over AES
 
 _SBOX: list[int] = []
 
@@ -165,7 +165,7 @@ def decode(enc: str, data: bytes, key: bytes | None = None) -> bytes:
     raise CodecError(f"unknown encoding: {enc}")
 
 
-# --- columns -----------------------------------------------------------------
+# --- columns
 
 
 @F.pandas_udf(BinaryType())
@@ -193,7 +193,7 @@ def sha256(col: Column) -> Column:
     return F.sha2(col, 256)
 
 
-# --- Ed25519, by RFC 8032 -----------------------------------------------------
+# --- Ed25519, by RFC 8032
 
 _Q = 2**255 - 19
 _L = 2**252 + 27742317777372353535851937790883648493

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# --- header blocks -----------------------------------------------------------
+# --- header blocks
 
 
 def find_blank(data: bytes) -> tuple[int, int] | None:
@@ -57,7 +57,7 @@ def blank_at(text: Column) -> Column:
     return F.coalesce(F.nullif(F.instr(text, "\r\n\r\n"), F.lit(0)), F.nullif(F.instr(text, "\n\n"), F.lit(0)))
 
 
-# --- names -------------------------------------------------------------------
+# --- names
 
 
 def address(col: Column) -> Column:
@@ -104,7 +104,7 @@ def is_text(col: Column) -> Column:
     return ~col.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{FFFD}]")
 
 
-# --- dates -------------------------------------------------------------------
+# --- dates
 
 
 def civil_time(ts: Column) -> Column:
@@ -121,7 +121,7 @@ def day_time(ts: Column) -> Column:
     return F.when(ts == 0, F.lit("?")).otherwise(F.format_string("d%d %02d:%02d", F.floor(ts / 86400), F.floor(ts % 86400 / 3600), F.floor(ts % 3600 / 60)))
 
 
-# --- HTML and markdown -------------------------------------------------------
+# --- HTML and markdown
 
 
 def escape(col: Column) -> Column:
@@ -194,7 +194,7 @@ def markdown_html(col: pd.Series) -> pd.Series:
     return col.map(lambda s: None if s is None else markdown(s))
 
 
-# --- JSON --------------------------------------------------------------------
+# --- JSON
 
 
 def canonical_json(col: Column) -> Column:
@@ -207,7 +207,7 @@ def json_or_empty(col: Column) -> Column:
     return F.coalesce(canonical_json(col), F.lit("{}"))
 
 
-# --- listings ----------------------------------------------------------------
+# --- listings
 
 
 def normalised_lines(listing: Column) -> Column:

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-OPERATORS = ("==", "!=", ">=", "<=", ">", "<")
+OPERATORS = tuple("== != >= <= > <".split())
 TOLERANCE = 1e-9
 _NUMBER = r"(?i)^[+-]?(inf(inity)?|nan|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?)$"
 _BLANK = " \t\n\r\x0b\x0c\x85\xa0"
@@ -84,7 +84,7 @@ def parse(query: str) -> list[Group]:
     return out
 
 
-# --- evaluation without Spark, for small header lists -----------------------
+# --- evaluation without Spark, for small header lists
 
 
 def _same(v: str, value: str, op: str) -> bool:
@@ -108,7 +108,7 @@ def matches(headers: list[tuple[str, str]], query: str) -> bool:
     return any(all(map(holds, g.clauses)) != g.negated for g in parse(query))
 
 
-# --- compilation -------------------------------------------------------------
+# --- compilation
 
 
 def _number(v: Column) -> Column:

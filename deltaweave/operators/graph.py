@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.text import body_hash
 
 #: Registers of the first six arguments in the System V calling convention.
-REGISTERS = ("rdi", "rsi", "rdx", "rcx", "r8", "r9")
+REGISTERS = tuple("rdi rsi rdx rcx r8 r9".split())
 #: Lines that are looked through: before a call for its arguments, at a function's start, and back from its end for a register.
 SITE_LINES, SITE_ARGS, PROLOGUE, BACK = 10, 4, 8, 12
 WAVE_DEPTH, BRANCH_DEPTH = 3, 2
@@ -113,7 +113,7 @@ def callers(edges: DataFrame, name: str | None = None) -> DataFrame:
     return rows.groupBy("callee").agg(F.array_sort(F.collect_set("caller")).alias("callers"))
 
 
-# --- what a caller passes on ---------------------------------------------------
+# --- what a caller passes on
 
 
 def _slot(s: str) -> str | None:
@@ -202,7 +202,7 @@ def passes(parsed: DataFrame) -> DataFrame:
     return parsed.select("name", "listing", "sites").mapInPandas(f, "caller string, callee string, callee_arg int, caller_arg int")
 
 
-# --- waves and branches ----------------------------------------------------------
+# --- waves and branches
 
 
 def _cut(df: DataFrame, step: int) -> DataFrame:
@@ -279,7 +279,7 @@ def without_branch(cells: DataFrame, name: str) -> DataFrame:
     return cells.where(~F.endswith("name", F.lit(f"@{name}")))
 
 
-# --- search and comparison ---------------------------------------------------------
+# --- search and comparison
 
 
 def cluster(functions: DataFrame, pattern: str) -> DataFrame:

@@ -135,7 +135,7 @@ def list_values(state: DataFrame) -> DataFrame:
     return items.select("entity", "tbl", "key", "place", F.get_json_object("item", "$.id").alias("id"), F.when(has, v).otherwise(F.col("item")).alias("v"))
 
 
-# --- writers -----------------------------------------------------------------
+# --- writers
 
 
 def heads(deltas: DataFrame) -> DataFrame:
@@ -193,7 +193,7 @@ def numbered(changes: DataFrame, deltas: DataFrame, order: list[str]) -> DataFra
     return out.withColumns({"seq": F.coalesce("head_seq", F.lit(0)) + F.col("_n"), "prev_hash": F.when(F.col("_n") == 1, F.col("head_hash"))}).drop("_n", "head_seq", "head_hash")
 
 
-# --- compaction and rollback ---------------------------------------------------
+# --- compaction and rollback
 
 
 def compact(deltas: DataFrame, base: DataFrame | None = None, strict: bool = True) -> DataFrame:
@@ -212,7 +212,7 @@ def rollback(deltas: DataFrame, n: int) -> DataFrame:
     return deltas.withColumns({"_total": total, "_place": place}).where(F.col("_place") <= F.col("_total") - n).drop("_total", "_place")
 
 
-# --- documents -----------------------------------------------------------------
+# --- documents
 
 DOC, LINES = "doc", "lines"
 

@@ -186,7 +186,7 @@ def containers(spark: SparkSession, path: str, table: str = "containers", **opti
     return spark.read.format("weave_containers").options(table=table, **options).load(path)
 
 
-# --- directories, letters, messages -----------------------------------------
+# --- directories, letters, messages
 
 
 def directory(spark: SparkSession, folder: str) -> DataFrame:

@@ -31,6 +31,18 @@ def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+JSON = "application/json"
+
+
+def head_block(*rows: tuple[str, object]) -> bytes:
+    """A header block with the blank line that ends it."""
+    return "".join(f"{k}: {v}\r\n" for k, v in rows).encode() + b"\r\n"
+
+
+def _from(entity: str) -> tuple[str, str]:
+    return "From", f"<{entity}@system.local>"
+
+
 def dump(value) -> bytes:
     """JSON with sorted keys and no spaces."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()
@@ -44,6 +56,11 @@ class Section:
     data: bytes
     enc: str = "raw"
 
+    @classmethod
+    def table(cls, id: str, content: dict) -> Section:
+        """A section that holds a table's first state."""
+        return cls(id, JSON, f"{id}.json", dump(content))
+
 
 @dataclass
 class Container:
@@ -136,20 +153,24 @@ def build(entity: str, subject: str, sections: list[Section], extra: list[tuple[
     """A new container without blocks."""
     extra = [("X-EML-Type", "Application/Unified")] if extra is None else extra
     boundary = f"part_{sha(repr((entity, subject, time.time_ns())).encode())[:24]}"
-    kind = f'Content-Type: multipart/mixed; boundary="{boundary}"\r\n\r\n'
-    pre = f"From: <{entity}@system.local>\r\nTo: <kernel@system.local>\r\nSubject: {subject}\r\nX-Entity-ID: {entity}\r\n" + "".join(f"{k}: {v}\r\n" for k, v in extra) + "X-EML-Version: 0.1.0\r\n"
-    start = len(pre.encode()) + 2 * 38 + len(kind)  # two index lines of 38 bytes each
+    mark = f"--{boundary}\r\n".encode()
+
+    def envelope(at: int, n: int) -> bytes:
+        # both numbers have twenty digits, so the envelope's length is known before they are
+        index = (("X-Index-Offset", f"{at:020}"), ("X-Index-Length", f"{n:020}"))
+        return head_block(_from(entity), ("To", "<kernel@system.local>"), ("Subject", subject), ("X-Entity-ID", entity), *extra, ("X-EML-Version", "0.1.0"), *index, ("Content-Type", f'multipart/mixed; boundary="{boundary}"'))
+
+    start = len(envelope(0, 0))
     body, listed = bytearray(), []
     for s in sections:
         data = codec.encode(s.enc, s.data, key)
-        body += f'--{boundary}\r\nContent-Type: {s.ct}; name="{s.name}"\r\nContent-ID: <{s.id}>\r\nX-Encoding: {s.enc}\r\n\r\n'.encode()
+        body += mark + head_block(("Content-Type", f'{s.ct}; name="{s.name}"'), ("Content-ID", f"<{s.id}>"), ("X-Encoding", s.enc))
         listed.append({"id": s.id, "ct": s.ct, "name": s.name, "off": start + len(body), "len": len(data), "enc": s.enc})
         body += data
     index = dump({"v": 1, "sections": listed})
-    body += f"--{boundary}\r\nContent-Type: application/x-{product.lower()}-index+json\r\nContent-ID: <eml-index>\r\nX-Encoding: raw\r\n\r\n".encode()
-    at = start + len(body)
+    body += mark + head_block(("Content-Type", f"application/x-{product.lower()}-index+json"), ("Content-ID", "<eml-index>"), ("X-Encoding", "raw"))
+    head = envelope(start + len(body), len(index))
     body += index + f"--{boundary}--\r\n".encode()
-    head = f"{pre}X-Index-Offset: {at:020}\r\nX-Index-Length: {len(index):020}\r\n{kind}".encode()
     base = head + bytes(body)
     return base + _closing(product, entity, sha(base), [], len(base))
 
@@ -200,7 +221,7 @@ def make_block(c: Container, writer: str, delta: dict, key: bytes | None = None,
     if key is not None:
         lines.append(("X-Encoding", "aes"))
     lines.append(("Content-Type", f"application/x-{c.product.lower()}-delta+json"))
-    return "".join(f"{k}: {v}\r\n" for k, v in lines).encode() + b"\r\n" + body
+    return head_block(*lines) + body
 
 
 def append(raw: bytes, block: bytes, writer: str | None = None) -> bytes:
@@ -287,14 +308,14 @@ def repair(raw: bytes, keep: int | None = None) -> tuple[bytes, int]:
     return raw[:stop] + _closing(product, header(headers, "X-Entity-ID") or "repaired", base_hash, entries, stop), len(entries)
 
 
-# --- records -----------------------------------------------------------------
+# --- records
 
 
 def record(id: str, tags: list[str], device: str, ts: int, body, product: str = PRODUCT) -> bytes:
     if not id or id == "." or re.search(r"[/\\]|\.\.", id):
         raise WireError(f"not a flat id: {id!r}")
-    rows = [(f"X-{product}-Record", "v1"), ("X-Record-ID", id), *[("X-Tag", t) for t in tags], *([("X-Device-ID", device)] if device else []), ("X-Timestamp", ts), ("Content-Type", "application/json")]
-    return "".join(f"{k}: {v}\r\n" for k, v in rows).encode() + b"\r\n" + dump(body)
+    rows = [(f"X-{product}-Record", "v1"), ("X-Record-ID", id), *[("X-Tag", t) for t in tags], *([("X-Device-ID", device)] if device else []), ("X-Timestamp", ts), ("Content-Type", JSON)]
+    return head_block(*rows) + dump(body)
 
 
 def insert_record(folder: str, id: str, tags: list[str], device: str, ts: int, body, product: str = PRODUCT) -> str:
@@ -305,11 +326,11 @@ def insert_record(folder: str, id: str, tags: list[str], device: str, ts: int, b
     return path
 
 
-# --- messages and letters ----------------------------------------------------
+# --- messages and letters
 
 
 def message(sender: str, to: str, event: str, body, product: str = PRODUCT) -> bytes:
-    return f"From: <{sender}@system.local>\r\nTo: <{to}>\r\nX-Event: {event}\r\nX-{product}-Msg: v1\r\nContent-Type: application/json\r\n\r\n".encode() + dump(body)
+    return head_block(_from(sender), ("To", f"<{to}>"), ("X-Event", event), (f"X-{product}-Msg", "v1"), ("Content-Type", JSON)) + dump(body)
 
 
 def send(bus: str, sender: str, to: str, event: str, body, product: str = PRODUCT) -> str:
@@ -333,7 +354,7 @@ def parse_message(raw: bytes) -> dict:
 
 
 def sync_message(entity: str, to: str, writer: str, block: bytes, product: str = PRODUCT) -> bytes:
-    return f"From: <{entity}@system.local>\r\nTo: <{to}>\r\nX-{product}-Sync: v1\r\nX-Writer-ID: {writer}\r\nContent-Type: application/x-{product.lower()}-delta\r\n\r\n".encode() + block
+    return head_block(_from(entity), ("To", f"<{to}>"), (f"X-{product}-Sync", "v1"), ("X-Writer-ID", writer), ("Content-Type", f"application/x-{product.lower()}-delta")) + block
 
 
 def _is_sync(h: list[tuple[str, str]]) -> bool:
@@ -343,9 +364,9 @@ def _is_sync(h: list[tuple[str, str]]) -> bool:
 def letter(entity: str, to: str, writer: str, blocks: list[tuple[int, bytes]], product: str = PRODUCT) -> bytes:
     """A mail with the blocks as they are, one a part."""
     mark = f"blocks_{sha(b''.join(b for _, b in blocks))[:32]}"
-    out = f'From: <{entity}>\r\nTo: <{to}>\r\nSubject: changes of {entity}\r\nX-{product}-Sync: v1\r\nX-Writer-ID: {writer}\r\nMIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary="{mark}"\r\n\r\n'.encode()
+    out = head_block(("From", f"<{entity}>"), ("To", f"<{to}>"), ("Subject", f"changes of {entity}"), (f"X-{product}-Sync", "v1"), ("X-Writer-ID", writer), ("MIME-Version", "1.0"), ("Content-Type", f'multipart/mixed; boundary="{mark}"'))
     for seq, b in sorted(blocks):
-        out += f"--{mark}\r\nContent-Type: application/x-{product.lower()}-delta\r\nContent-ID: <block-{seq}>\r\n\r\n".encode() + b + b"\r\n"
+        out += f"--{mark}\r\n".encode() + head_block(("Content-Type", f"application/x-{product.lower()}-delta"), ("Content-ID", f"<block-{seq}>")) + b + b"\r\n"
     return out + f"--{mark}--\r\n".encode()
 
 

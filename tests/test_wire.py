@@ -12,7 +12,7 @@ from deltaweave.sources import readers, wire
 
 
 def state(n=1):
-    return wire.build("bank@system.local", "bank", [wire.Section("state", "application/json", "state.json", wire.dump({"n": n}))])
+    return wire.build("bank@system.local", "bank", [wire.Section.table("state", {"n": n})])
 
 
 def set_(key, value, ts, table="state"):
@@ -66,7 +66,8 @@ def test_sound_containers_have_no_issues(spark, tmp_path):
 
 def test_line_feeds_alone_and_no_writer(spark, tmp_path):
     c = wire.read(state())
-    block = f"X-{wire.PRODUCT}-Delta: v1\nX-Delta-Seq: 1\nX-Prev-Hash: {c.base_hash}\n\n".encode() + wire.dump(set_("n", 5, 1))
+    head = wire.head_block((f"X-{wire.PRODUCT}-Delta", "v1"), ("X-Delta-Seq", 1), ("X-Prev-Hash", c.base_hash)).replace(b"\r\n", b"\n")
+    block = head + wire.dump(set_("n", 5, 1))
     raw = wire.append(c.raw, block)
     assert wire.read(raw).tail[0]["writer"] == "local" and wire.parse_delta(block)["value"] == 5 and issues(spark, tmp_path, raw) == []
 
