@@ -22,7 +22,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,7 +103,7 @@ def _stats(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(np.ascontiguousarray(x[:, i])) for i in range(P)]], names=[*batch.schema.names, *[f"s{i}" for i in range(P)]])
 
 
-# --- estimates -------------------------------------------------------------
+# --- estimates
 
 
 def solve(n: float, s: np.ndarray, q: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
@@ -134,21 +133,62 @@ def _d2(mean: str = "mean", inv: str = "inv") -> F.Column:
     return out
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, dict[str, np.ndarray]]]:
+    """Each group's key and columns, of a partition sorted by level, g1 and g2, whose rows are few."""
+    t = pa.Table.from_batches([b for b in batches]).combine_chunks()
+    if not len(t):
+        return
+    keys = list(zip(*[t.column(c).to_pylist() for c in ("level", "g1", "g2")], strict=True))
+    cols = {}
+    for c in t.column_names[3:]:
+        x = t.column(c).combine_chunks()
+        cols[c] = x.flatten().to_numpy().astype(float).reshape(len(t), -1) if pa.types.is_list(x.type) else x.to_numpy()
+    at = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
+    for i, j in zip(at, [*at[1:], len(keys)], strict=True):
+        yield list(keys[i]), {c: x[i:j] for c, x in cols.items()}
+
+
+def _rows(out: list[list]) -> pa.RecordBatch:
+    types = (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["level", "g1", "g2", "n", "mean", "inv"])
+
+
 def _estimate(share: float):
     """For each group, from its buckets' moments, the next estimate."""
 
-    def f(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
-        n = t["n"].to_numpy(float)
-        s = np.stack([t[f"m{i}"].to_numpy(float) for i in range(P)], axis=1)
-        q = np.zeros((len(t), P, P))
-        for k, (i, j) in enumerate(_PAIRS):
-            q[:, i, j] = q[:, j, i] = t[f"q{k}"].to_numpy(float)
-        mean, inv = concentrate(t["bucket"].to_numpy(), n, s, q, share)
-        return pd.DataFrame({"level": [key[0]], "g1": [key[1]], "g2": [key[2]], "n": [int(n.sum())], "mean": [mean.tolist()], "inv": [[inv[i, j] for i, j in _PAIRS]]})
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for key, t in _groups(batches):
+            n = t["n"].astype(float)
+            q = np.zeros((len(n), P, P))
+            for k, (i, j) in enumerate(_PAIRS):
+                q[:, i, j] = q[:, j, i] = t["q"][:, k]
+            mean, inv = concentrate(t["bucket"], n, t["m"], q, share)
+            out.append([*key, int(n.sum()), mean.tolist(), [inv[i, j] for i, j in _PAIRS]])
+        yield _rows(out)
 
     return f
 
 
+def _medians(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each group, from its statistics' values and their counts, the medians, with the floors as scatter."""
+    spread = np.diag(1 / (4 * FLOORS**2))
+    out = []
+    for key, t in _groups(batches):
+        mean = []
+        for i in range(P):
+            m = t["stat"] == i
+            order = np.argsort(t["x"][m], kind="stable")
+            count = t["count"][m][order]
+            mean.append(float(t["x"][m][order][np.searchsorted(np.cumsum(count), count.sum() / 2)]) / UNIT)
+        out.append([*key, int(t["count"][t["stat"] == 0].sum()), mean, [spread[i, j] for i, j in _PAIRS]])
+    yield _rows(out)
+
+
+def _by_group(rows: DataFrame) -> DataFrame:
+    return rows.repartition("level", "g1", "g2").sortWithinPartitions("level", "g1", "g2")
+
+
 _PARAMS = "level int, g1 string, g2 string, n bigint, mean array<double>, inv array<double>"
 
 
@@ -156,7 +196,8 @@ def _moments(rows: DataFrame) -> DataFrame:
     """n, first and second moments by group and bucket; rows hold level, g1, g2, bucket, w and s0.."""
     x = [F.col(f"s{i}").cast("bigint") for i in range(P)]
     w = F.col("w")
-    return rows.groupBy("level", "g1", "g2", "bucket").agg(F.sum(w).alias("n"), *[F.sum(w * x[i]).alias(f"m{i}") for i in range(P)], *[F.sum(w * x[i] * x[j]).alias(f"q{k}") for k, (i, j) in enumerate(_PAIRS)])
+    sums = rows.groupBy("level", "g1", "g2", "bucket").agg(F.sum(w).alias("n"), *[F.sum(w * x[i]).alias(f"m{i}") for i in range(P)], *[F.sum(w * x[i] * x[j]).alias(f"q{k}") for k, (i, j) in enumerate(_PAIRS)])
+    return sums.select("level", "g1", "g2", "bucket", "n", F.array(*[f"m{i}" for i in range(P)]).alias("m"), F.array(*[f"q{k}" for k in range(len(_PAIRS))]).alias("q"))
 
 
 def estimates(stats: DataFrame, share: float = SHARE, steps: int = STEPS, buckets: int = BUCKETS) -> DataFrame:
@@ -172,18 +213,10 @@ def estimates(stats: DataFrame, share: float = SHARE, steps: int = STEPS, bucket
     # medians by histogram: exact counts of each statistic's values
     values = rows.select(*keys, F.posexplode(F.array(*s)).alias("stat", "x")).groupBy(*keys, "stat", "x").count()
 
-    def median(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
-        mean = []
-        for i in range(P):
-            u = t[t["stat"] == i].sort_values("x")
-            mean.append(float(u["x"].to_numpy()[np.searchsorted(np.cumsum(u["count"].to_numpy()), u["count"].sum() / 2)]) / UNIT)
-        spread = np.diag(1 / (4 * FLOORS**2))
-        return pd.DataFrame({"level": [key[0]], "g1": [key[1]], "g2": [key[2]], "n": [int(t.loc[t["stat"] == 0, "count"].sum())], "mean": [mean], "inv": [[spread[i, j] for i, j in _PAIRS]]})
-
-    now = stored(values.groupBy(*keys).applyInPandas(median, _PARAMS))
+    now = stored(_by_group(values).mapInArrow(_medians, _PARAMS))
     for _ in range(steps):
         near = rows.join(now.drop("n"), keys).withColumn("bucket", F.floor(F.log2(_d2() + 2.0**-20) * buckets))
-        now = stored(_moments(near).groupBy(*keys).applyInPandas(_estimate(share), _PARAMS))
+        now = stored(_by_group(_moments(near)).mapInArrow(_estimate(share), _PARAMS))
     return now
 
 
