@@ -35,7 +35,7 @@ SHARD_LINES, RESIDENT_BYTES = 1_000_000, 96 << 20
 GAMMA = 2.0
 
 
-# --- minimal perfect hash ----------------------------------------------------
+# --- minimal perfect hash
 
 
 class MinimalPerfectHash:
@@ -137,7 +137,7 @@ class Shard:
         return docs, owners
 
 
-# --- lines -------------------------------------------------------------------
+# --- lines
 
 
 def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
