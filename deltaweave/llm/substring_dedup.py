@@ -20,10 +20,13 @@ from pyspark.sql import functions as F
 from . import textops as X
 from .frames import column, pick, positional
 
-#: A border every 2**BITS bytes on average; its bits are the highest of the WINDOW lowest.
+#: A border every 2**BITS bytes on average, from the highest of the hash's WINDOW lowest bits. Short chunks find short
+#: passages; a corpus so large that most chunks occur elsewhere by chance needs longer ones.
 BITS, WINDOW = 5, 24
-#: Least bytes of consecutive repeated chunks. A passage loses up to WINDOW bytes and two part chunks at its edges.
-LEAST = 64
+#: Bytes after which a chunk is cut in any case, as in text that only repeats a word and may have no border.
+LONGEST = 256
+#: Least words of consecutive repeated chunks. A passage loses up to WINDOW bytes and two part chunks at its edges, so a third of the 50 words that make one.
+LEAST_WORDS = 16
 
 GEAR = np.random.Generator(np.random.PCG64(99)).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 
@@ -46,6 +49,11 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     full = offsets[1:] > offsets[:-1]
     ends = np.union1d(last + 1, offsets[1:][full])
     starts = np.concatenate((offsets[:1], ends[:-1])) if len(ends) else ends
+    more = np.maximum(ends - starts - 1, 0) // LONGEST
+    if more.any():
+        nth = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
+        ends = np.sort(np.concatenate((ends, np.repeat(starts, more) + nth * LONGEST)))
+        starts = np.concatenate((offsets[:1], ends[:-1]))
     return starts, ends, np.searchsorted(starts, offsets)
 
 
@@ -59,11 +67,14 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.diff(bounds)
             h = X.span_hash(X.prefix_hash(part), starts, ends)
             at = starts - np.repeat(off[:-1], n)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.repeat(ids[i:j], n)), pa.array(at.astype(np.int32)), pa.array((ends - starts).astype(np.int32))], names=["digest", "doc_id", "at", "size"])
+            begun, _, _ = X.spans(np.take(X.NOT_SPACE, part), off)
+            words = np.searchsorted(begun, ends) - np.searchsorted(begun, starts)
+            ints = [pa.array(x.astype(np.int32)) for x in (at, ends - starts, words)]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.repeat(ids[i:j], n)), *ints], names=["digest", "doc_id", "at", "size", "words"])
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (digest, doc_id, at, size) sorted so, those of other documents than the digest's first, with that document."""
+    """Of rows (digest, doc_id, at, size, words) sorted so, those of other documents than the digest's first, with that document."""
     held, owner = None, None
     for b in batches:
         if not len(b):
@@ -77,15 +88,15 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pa.array(first != ids)
         out = b.filter(m)
         if len(out):
-            yield pa.RecordBatch.from_arrays([out.column(1), out.column(2), out.column(3), pa.array(first[first != ids])], names=["doc_id", "at", "size", "first"])
+            yield pa.RecordBatch.from_arrays([*out.columns[1:], pa.array(first[first != ids])], names=["doc_id", "at", "size", "words", "first"])
 
 
 def _runs(least: int):
-    """Passages from rows (doc_id, at, size, first) sorted by doc_id and at."""
+    """Passages from rows (doc_id, at, size, words, first) sorted by doc_id and at."""
 
-    def passages(ids: np.ndarray, at: np.ndarray, size: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+    def passages(ids: np.ndarray, at: np.ndarray, size: np.ndarray, words: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
         again = np.append(False, (ids[1:] == ids[:-1]) & (at[1:] == at[:-1]))  # rows that repeat a doc_id
-        ids, at, size, first = ids[~again], at[~again], size[~again], first[~again]
+        ids, at, size, words, first = (x[~again] for x in (ids, at, size, words, first))
         new = np.append(True, (ids[1:] != ids[:-1]) | (at[1:] != at[:-1] + size[:-1]))
         start = np.flatnonzero(new)
         run = np.cumsum(new) - 1
@@ -97,11 +108,13 @@ def _runs(least: int):
         total = np.add.reduceat(s, cut)
         best = np.lexsort((f[cut], -total, r[cut]))
         lead = best[np.append(True, r[cut][best][1:] != r[cut][best][:-1])]
-        ok = end - at[start] >= least
-        return pa.RecordBatch.from_arrays([pa.array(ids[start][ok]), pa.array(at[start][ok].astype(np.int32)), pa.array(end[ok].astype(np.int32)), pa.array(f[cut][lead][ok])], names=["doc_id", "begin", "end", "first_doc_id"])
+        n = np.add.reduceat(words, start)
+        ok = n >= least
+        ints = [pa.array(x[ok].astype(np.int32)) for x in (at[start], end, n)]
+        return pa.RecordBatch.from_arrays([pa.array(ids[start][ok]), *ints, pa.array(f[cut][lead][ok])], names=["doc_id", "begin", "end", "n_words", "first_doc_id"])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * 4
+        rest = [np.zeros(0, np.int64)] * 5
         for b in batches:
             if not len(b):
                 continue
@@ -116,20 +129,20 @@ def _runs(least: int):
     return f
 
 
-def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, begin, end int, first_doc_id): every passage of docs that a document with a lesser doc_id has.
+def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(doc_id, begin, end, n_words int, first_doc_id): every passage of docs that a document with a lesser doc_id has.
 
-    begin and end are bytes of the text's UTF-8. A passage is a run of at least
-    `least` bytes of whole chunks, each of which another document has first;
-    first_doc_id is the one that was first with most of it. What repeats within
+    begin and end are bytes of the text's UTF-8. A passage is a run of whole
+    chunks with at least `least_words` words, each chunk being one that another
+    document has first; first_doc_id is the one that was first with most of it. What repeats within
     one document only doesn't count. Rows with a null doc_id or text take no
     part; empty texts have no passages; rows that repeat a doc_id are one
     document, whose passages are given once. An empty table gives an empty one.
     """
     src = pick(docs, doc_id="bigint", text="string").where("doc_id is not null and text is not null")
-    rows = src.mapInArrow(_chunks, "digest bigint, doc_id bigint, at int, size int").repartition("digest").sortWithinPartitions("digest", "doc_id")
-    again = rows.mapInArrow(_repeats, "doc_id bigint, at int, size int, first bigint").repartition("doc_id").sortWithinPartitions("doc_id", "at", "first")
-    return again.mapInArrow(_runs(least), "doc_id bigint, begin int, end int, first_doc_id bigint")
+    rows = src.mapInArrow(_chunks, "digest bigint, doc_id bigint, at int, size int, words int").repartition("digest").sortWithinPartitions("digest", "doc_id")
+    again = rows.mapInArrow(_repeats, "doc_id bigint, at int, size int, words int, first bigint").repartition("doc_id").sortWithinPartitions("doc_id", "at", "first")
+    return again.mapInArrow(_runs(least_words), "doc_id bigint, begin int, end int, n_words int, first_doc_id bigint")
 
 
 def _cut(batches: Iterator[pa.RecordBatch], at_text: int) -> Iterator[pa.RecordBatch]:
@@ -148,11 +161,11 @@ def _cut(batches: Iterator[pa.RecordBatch], at_text: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
 
 
-def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs, all columns, with the repeated passages cut out of text; characters that a border splits go whole."""
     pos, names = positional(docs)
     key, text = column(names, "doc_id"), column(names, "text")
-    spans = repeated_passages(docs, least).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("_spans")).withColumnRenamed("doc_id", "_id")
+    spans = repeated_passages(docs, least_words).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("_spans")).withColumnRenamed("doc_id", "_id")
     at = pos.columns.index(text)
     joined = pos.join(spans, F.col(key).cast("bigint") == F.col("_id"), "left").select(*pos.columns, "_spans")
     return joined.mapInArrow(lambda it: _cut(it, at), pos.schema).toDF(*names)

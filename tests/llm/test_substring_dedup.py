@@ -32,6 +32,13 @@ def test_hash_is_the_sum_of_shifted_gears():
         assert int(h[i]) == sum(int(S.GEAR[data[i - k]]) << k for k in range(min(32, i + 1))) % (1 << 32)
 
 
+def test_text_without_borders_is_cut_as_well():
+    for word in ("And ", "x", "Thti "):
+        data, off = X.strings(pa.array([word * 900, "a"]))
+        starts, ends, bounds = S.chunks(data, off)
+        assert (ends - starts).max() <= S.LONGEST and (starts[1:] == ends[:-1]).all() and ends[-1] == len(data) and bounds[-1] - bounds[1] == 1
+
+
 def test_insertions_shift_borders_only():
     text = prose(random.Random(2), 800)
     cut = lambda t: {t[a:b] for a, b, in zip(*S.chunks(*X.strings(pa.array([t])))[:2])}
@@ -69,18 +76,19 @@ def test_equals_brute_force_over_chunks(spark, data):
         cuts[d] = [(int(x), int(y), raw[x:y].tobytes()) for x, y in zip(a, b)]
         for x in cuts[d]:
             first.setdefault(x[2], d)
-    want = set()
+    want, t_ = set(), {d: t.encode() for d, t in docs}
     for d, _ in docs:
         run = []
         for x in [*cuts[d], None]:
             if x is not None and first[x[2]] != d:
                 run.append(x)
                 continue
-            if run and run[-1][1] - run[0][0] >= S.LEAST:
+            words = [i for i in range(run[0][0], run[-1][1]) if t_[d][i : i + 1].strip(b" \t\n\r\x0b\x0c") and (i == 0 or not t_[d][i - 1 : i].strip(b" \t\n\r\x0b\x0c"))] if run else []
+            if len(words) >= S.LEAST_WORDS:
                 size = {}
                 for y in run:
                     size[first[y[2]]] = size.get(first[y[2]], 0) + y[1] - y[0]
-                want.add((d, run[0][0], run[-1][1], min(size, key=lambda k: (-size[k], k))))
+                want.add((d, run[0][0], run[-1][1], len(words), min(size, key=lambda k: (-size[k], k))))
             run = []
     assert {tuple(r) for r in S.repeated_passages(df).collect()} == want and want
 
