@@ -207,7 +207,7 @@ def _pack(shards: int):
 
 
 class Index:
-    """The shards below a folder; each worker keeps those that it has read."""
+    """The shards below a folder; a task keeps those that it has read."""
 
     _held: dict[str, dict[int, Shard]] = {}
 
@@ -244,7 +244,7 @@ class Index:
 def build_index(docs: DataFrame, shard_lines: int = SHARD_LINES) -> tuple[Index, int]:
     """Index of the distinct lines of docs (doc_id bigint not null, text), and its size in bytes."""
     spark = docs.sparkSession
-    per_line = docs.mapInArrow(_hashes, "h bigint, doc_id bigint").groupBy("h").agg(F.count("*").alias("docs"), F.min("doc_id").alias("owner"))
+    per_line = docs.mapInArrow(lambda it: X.tidy(_hashes(it)), "h bigint, doc_id bigint").groupBy("h").agg(F.count("*").alias("docs"), F.min("doc_id").alias("owner"))
     table = stored(per_line)
     n = table.count()
     shards = max(1, -(-n // shard_lines))
@@ -287,6 +287,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch], at_id: int, at_text: int, at_dro
             dropped = X.segment_sum(drop.astype(np.int64), bounds).astype(np.int32)
             total = np.where(null_text, 0, size).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*cols, pa.array(total), pa.array(dropped)], names=[*[n for x, n in enumerate(part.schema.names) if x != at_drop], "n_lines", "n_dropped"])
+    Index._held = {}  # read again by the next task, rather than kept while other stages run
 
 
 def _parts(batch: pa.RecordBatch, at_text: int) -> Iterator[tuple[int, int, pa.RecordBatch]]:
@@ -322,7 +323,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, shard_lines: int = SH
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in pos.schema]
     out = ", ".join([*fields, "n_lines int", "n_dropped int"])
     if size <= resident_bytes:
-        done = pos.mapInArrow(lambda it: _rewrite(it, at_id, at_text, None, index, min_docs), out)
+        done = pos.mapInArrow(lambda it: X.tidy(_rewrite(it, at_id, at_text, None, index, min_docs)), out)
     else:
         shards = index.shards
         probes = slim.mapInArrow(_hashes, "h bigint, doc_id bigint").select("h", "doc_id")

@@ -221,7 +221,7 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, registers: int = REGIST
     """
     spark = docs.sparkSession
     src = pick(docs, doc_id="bigint", text="string").where("doc_id is not null and text is not null")
-    sign = lambda it: _sign(it, shingle, registers, bands, rows)
+    sign = lambda it: X.tidy(_sign(it, shingle, registers, bands, rows))
     sig = stored(src.mapInArrow(sign, "doc_id bigint, digest bigint, sig binary, bands array<bigint>"))
     # copies with one signature: the least stands for all in the bands
     lead = sig.select("digest", "doc_id").groupBy("digest").agg(F.min("doc_id").alias("lead"))

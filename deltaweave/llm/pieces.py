@@ -29,7 +29,7 @@ from .frames import column, positional
 #: The model file; read by each worker, so it must be at this place on all of them.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose pieces a worker remembers; beyond, it starts to remember anew.
-REMEMBER = 300_000
+REMEMBER = 200_000
 MARK = "▁"
 
 
@@ -322,7 +322,7 @@ def encode(docs: DataFrame, model: str = MODEL, charsmap: bytes | None = None) -
     """
     pos, names = positional(docs)
     src = pos.select(F.col(column(names, "doc_id")).cast("bigint").alias("doc_id"), F.col(column(names, "text")).cast("string").alias("text"))
-    return src.mapInArrow(lambda it: _encode(it, model, charsmap), "doc_id bigint, ids array<int>, begins array<int>, ends array<int>, round_trip boolean")
+    return src.mapInArrow(lambda it: X.tidy(_encode(it, model, charsmap)), "doc_id bigint, ids array<int>, begins array<int>, ends array<int>, round_trip boolean")
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

@@ -239,7 +239,7 @@ def judged(docs: DataFrame, share: float = SHARE, steps: int = STEPS, buckets: i
     lang, source = (F.coalesce(F.col(column(names, c)).cast("string"), F.lit("\u0001")) for c in ("lang", "source"))
     group = {"lang": lang, "source": source}
     only = pos.select(F.col(text).cast("string").alias("_text"), lang.alias("lang"), source.alias("source"))
-    rows = only.mapInArrow(lambda it: _stats(it, 0), "_text string, lang string, source string, " + ", ".join(f"s{i} int" for i in range(P)))
+    rows = only.mapInArrow(lambda it: X.tidy(_stats(it, 0)), "_text string, lang string, source string, " + ", ".join(f"s{i} int" for i in range(P)))
     stats = stored(rows.where(F.col("_text").rlike(r"[^ \t\n\r\x0B\f]")).drop("_text"))
     est = estimates(stats, share, steps, buckets)
     one = est.where("level = 1").select(F.col("g1").alias("lang"), F.col("n").alias("n1"), F.struct("mean", "inv").alias("e1"))
@@ -248,7 +248,7 @@ def judged(docs: DataFrame, share: float = SHARE, steps: int = STEPS, buckets: i
     pickd = F.when(F.col("n2") >= least, F.col("e2")).when(F.col("n1") >= least, F.col("e1")).when(F.col("n0") >= least, F.col("e0"))
     judge = stored(own.join(one, "lang").join(F.broadcast(top)).select("lang", "source", pickd.alias("e")).select("lang", "source", "e.mean", "e.inv"))
     words = F.col(text).cast("string").rlike(r"[^ \t\n\r\x0B\f]")
-    measured = pos.mapInArrow(lambda it: _stats(it, at), schema).withColumns(group)
+    measured = pos.mapInArrow(lambda it: X.tidy(_stats(it, at)), schema).withColumns(group)
     near = measured.join(judge, ["lang", "source"], "left").withColumn("distance2", F.when(words, _d2()))
     keep = F.coalesce(words, F.lit(False)) & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= chi2_quantile(P, tail))
     return near.withColumn("keep", keep), names

@@ -6,6 +6,7 @@ n-grams costs a few vector passes instead of a Python call a word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,19 @@ BYTE_CODES.setflags(write=False)
 _powers = {}
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def tidy(rows: Iterator) -> Iterator:
+    """rows; then memory that this worker no longer uses goes back to the system, as workers outlive their tasks."""
+    try:
+        yield from rows
+    finally:
+        pa.default_memory_pool().release_unused()
+        if _trim is not None:
+            _trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x ^ (x >> U64(30))
