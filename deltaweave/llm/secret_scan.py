@@ -2,7 +2,8 @@
 
 A worklist starts with the text itself. Every layer is scanned by the rules,
 and each decoder that finds something to unwrap in it (URL escapes, Unicode
-escapes, base64, and gzip or zlib streams within the latter two) adds the text
+escapes, base64 of either alphabet and over line ends, and gzip or zlib
+streams within the latter two) adds the text
 with those parts unwrapped. Layers that were seen before, by digest, aren't
 added again, so the work ends at a fixpoint whatever the texts decode to. For
 each character a layer records which characters of the original text it came
@@ -19,6 +20,7 @@ import re
 import zlib
 from collections import Counter, deque
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +49,12 @@ MAX_STREAM = 64 << 20
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-_BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
+#: Runs of either base64 alphabet, wrapped or not, and a line's last characters before such a run.
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*(?:\\r)?(?:\\n|\r?\n)[ \t]*[A-Za-z0-9+/_-]+)*={0,2}")
+_BEFORE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{1,15}[ \t]*(?:\\r)?(?:\\n|\r?\n)[ \t]*\Z")
+_BREAK = re.compile(r"\\[rn]|[ \t\r\n=]")
+#: What decoded bytes that aren't text must have: so many printable characters as the shortest secret.
+_WORTH = re.compile(rb"[\t\r\n -~]{15}")
 
 
 def entropy(s: str) -> float:
@@ -90,7 +97,7 @@ class Layer:
     def span(self, a: int, b: int) -> tuple[int, int]:
         return (a, b) if self.begin is None else (int(self.begin[a:b].min()), int(self.end[a:b].max()))
 
-    def unwrapped(self, name: str, parts: list[tuple[int, int, str, list[int] | None, list[int] | None]]) -> Layer:
+    def unwrapped(self, name: str, parts: list[tuple[int, int, str, np.ndarray | list[int] | None, np.ndarray | list[int] | None]]) -> Layer:
         """The layer with text[a:b] replaced for each part (a, b, new, begins, ends), whose lists are relative to a; None: the whole of a to b."""
         begin = np.arange(len(self.text)) if self.begin is None else self.begin
         end = np.arange(1, len(self.text) + 1) if self.end is None else self.end
@@ -113,15 +120,10 @@ class Layer:
         return Layer("".join(out), (*self.path, name), np.concatenate(bs), np.concatenate(es))
 
 
-def _chars(s: str, begins: list[int], ends: list[int]) -> tuple[list[int], list[int]]:
+def _chars(s: str, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begins and ends of s's characters from those of its UTF-8 bytes."""
-    x, y, k = [], [], 0
-    for c in s:
-        n = len(c.encode())
-        x.append(begins[k])
-        y.append(ends[k + n - 1])
-        k += n
-    return x, y
+    lead = np.flatnonzero(np.frombuffer(s.encode(), np.uint8) & 0xC0 != 0x80)
+    return begins[lead], ends[np.append(lead[1:], len(begins)) - 1]
 
 
 def _url(text: str):
@@ -137,7 +139,7 @@ def _url(text: str):
                 s = raw.decode("utf-8")
             except UnicodeDecodeError:
                 continue
-            yield m.start(), m.end(), s, *_chars(s, [3 * i for i in range(len(raw))], [3 * i + 3 for i in range(len(raw))])
+            yield m.start(), m.end(), s, *_chars(s, at := 3 * np.arange(len(raw)), at + 3)
 
 
 def _unicode(text: str):
@@ -159,24 +161,34 @@ def _unicode(text: str):
             yield a, b, chr(code), [0], [b - a]
 
 
-def _base64(text: str):
+def _base64(text: str, shift: int):
+    """Parts that are base64 from their character of number shift on; what stands before it may be no base64, but a word or a path."""
+    last = 0
     for m in _BASE64.finditer(text):
-        body = m[0].rstrip("=")
+        a, b = m.span()
+        if before := _BEFORE.search(text, max(last, a - 64), a):
+            a = before.start()
+        last = b
+        run = _BREAK.sub(lambda x: " " * len(x[0]), text[a:b])
+        at = np.flatnonzero(np.frombuffer(run.encode(), np.uint8) != 32)[shift:]
+        body = run.replace(" ", "")[shift:].replace("-", "+").replace("_", "/")
         if len(body) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
+            body = body[:-1]
+        raw = base64.b64decode(body + "=" * (-len(body) % 4))
+        n = np.arange(len(raw))
+        x, y = at[4 * n // 3], at[(4 * n + 6) // 3 - 1] + 1
+        if len(raw) and len(at) == len(body):
+            y[-1] = b - a
         if (inner := inflate(raw)) is not None:
             if (s := readable(inner)) is not None:
-                yield m.start(), m.end(), s, None, None
-        elif (s := readable(raw)) is not None:
-            n = len(raw)
-            yield m.start(), m.end(), s, *_chars(s, [4 * i // 3 for i in range(n)], [(4 * i + 4 + 2) // 3 for i in range(n - 1)] + [len(m[0])])
+                yield a, b, s, None, None
+        elif (s := readable(raw)) is not None and (shift == 0 or _WORTH.search(raw)):
+            yield a, b, s, *_chars(s, x, y)
+        elif _WORTH.search(raw):
+            yield a, b, raw.decode("latin-1"), x, y
 
 
-DECODERS = {"url": _url, "unicode": _unicode, "base64": _base64}
+DECODERS = [("url", _url), ("unicode", _unicode), *(("base64", partial(_base64, shift=k)) for k in range(4))]
 
 
 def scan(text: str) -> list[tuple[str, str, int, int, str]]:
@@ -195,7 +207,7 @@ def scan(text: str) -> list[tuple[str, str, int, int, str]]:
                     continue
                 a, b = layer.span(m.start(m.lastindex), m.end(m.lastindex))
                 found.setdefault((rule, a, b), (">".join(layer.path) or "text", secret))
-        for name, decoder in DECODERS.items():
+        for name, decoder in DECODERS:
             try:
                 parts = list(decoder(layer.text))
             except Oversized:

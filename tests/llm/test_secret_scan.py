@@ -78,3 +78,21 @@ def test_layers_keep_places(spark, data):
     odd = json.dumps({"k": KEY})
     got = S.find_secrets(spark.createDataFrame([(1, odd), (1, odd), (None, odd), (2, None)], "doc_id bigint, text string")).collect()
     assert sorted((str(r.doc_id), r.begin, r.end) for r in got) == [("1", 7, 27), ("1", 7, 27), ("None", 7, 27)]
+
+
+def test_urlsafe_and_wrapped_base64():
+    rng = random.Random(11)
+    for k in range(300):
+        noise = "".join(chr(rng.randint(0x100, 0x17F)) for _ in range(200))
+        raw = zlib.compress(f"{noise} {KEY} {noise}".encode())
+        for s in (base64.urlsafe_b64encode(raw).decode(), base64.urlsafe_b64encode(raw).decode().rstrip("="), base64.encodebytes(raw).decode(), base64.encodebytes(raw).decode().replace("\n", "\r\n"), base64.encodebytes(raw).decode().replace("\n", "\\n")):
+            got = S.scan(f"text {s}; text")
+            assert [g[4] for g in got] == [KEY] and 5 <= got[0][2] < got[0][3] <= 5 + len(s), k
+    for text in (json.dumps({"?>~~~???>>>": "ÿ~?>" * 9, "id": KEY}, ensure_ascii=False), "a" * 41 + f" {KEY} ende", "ü" * 51 + f" {KEY} " + "ü" * 80):
+        safe = base64.urlsafe_b64encode(text.encode()).decode()
+        for width in (20, 41, 64, 76, 1000):
+            wrapped = "\n".join(safe[i : i + width] for i in range(0, len(safe), width))
+            for before in ("", "word ", "path/to/a-file_", "long-name-of-a-file.txt\nanother-long-name\n", "short\n"):
+                got = [g for g in S.scan(before + wrapped + "\nmore words") if g[0] == "aws_access_key"]
+                assert [g[4] for g in got] == [KEY], (text, width, before)
+                assert len(before) <= got[0][2] < got[0][3] <= len(before) + len(wrapped)
