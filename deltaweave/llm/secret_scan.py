@@ -3,8 +3,8 @@
 A worklist starts with the text itself. Every layer is scanned by the rules,
 and each decoder that finds something to unwrap in it (URL escapes, Unicode
 escapes, base64 of either alphabet and over line ends, and gzip or zlib
-streams within the latter two) adds the text
-with those parts unwrapped. Layers that were seen before, by digest, aren't
+streams and UTF-16 within these) adds the text with those parts unwrapped;
+bytes that aren't UTF-8 text are carried as a character each. Layers that were seen before, by digest, aren't
 added again, so the work ends at a fixpoint whatever the texts decode to. For
 each character a layer records which characters of the original text it came
 from, and findings are given in those.
@@ -13,7 +13,6 @@ from, and findings are given in those.
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import math
 import re
@@ -21,6 +20,7 @@ import zlib
 from collections import Counter, deque
 from collections.abc import Iterator
 from functools import partial
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,19 @@ MAX_STREAM = 64 << 20
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+_URL_TOKEN = re.compile(r"%[0-9A-Fa-f]{2}(?:%[0-9A-Fa-f]{2}|[!-$&-~])*")
+_URL_CHAR = re.compile(r"%[0-9A-Fa-f]{2}|.", re.S)
+_ESCAPE = re.compile(_UNICODE.pattern + r"|\\([0-7]{1,3}|[^\sxu0-7])")
+_SIMPLE = {"a": "\a", "b": "\b", "e": "\x1b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v"}
+_ESCAPED_STREAM = re.compile(r"(?i)(?:\\x|\\u00|\\u\{|&#x)1f\}?;?(?:\\x|\\u00|\\u\{|&#x)8b|\\0?37\\213|&#31;&#139;|(?:x|\\x78|\\u0078|\\170)(?:(?:\\x|\\u00)(?:01|5e|9c|da)|\\0?01|\\136|\\234|\\332|\^(?=[ -~]{0,60}\\x))")
+#: First characters of gzip and zlib streams.
+_STREAM_HEADS = ("\x1f\x8b\x08", "x\x01", "x\x5e", "x\x9c", "x\xda")
+_STREAM = re.compile("|".join(map(re.escape, _STREAM_HEADS)))
+_STREAM_BYTES = re.compile(_STREAM.pattern.encode("latin-1"))
+_WIDE = re.compile("(?:[^\0]\0){8,}|(?:[^\0]\0{3}){8,}")
+_WIDE_BYTES = re.compile(rb"(?:[\t\r\n -~]\0){8}|(?:[\t\r\n -~]\0{3}){8}")
+#: Characters of a stream that are unwrapped at once.
+STEP = 1 << 14
 #: Runs of either base64 alphabet, wrapped or not, and a line's last characters before such a run.
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*(?:\\r)?(?:\\n|\r?\n)[ \t]*[A-Za-z0-9+/_-]+)*={0,2}")
 _BEFORE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{1,15}[ \t]*(?:\\r)?(?:\\n|\r?\n)[ \t]*\Z")
@@ -66,18 +79,41 @@ class Oversized(Exception):
     pass
 
 
-def inflate(raw: bytes) -> bytes | None:
-    """What a gzip or zlib stream holds; None for anything else."""
-    if not (raw[:2] == b"\x1f\x8b" or (len(raw) > 5 and raw[0] == 0x78 and raw[1] in (0x01, 0x5E, 0x9C, 0xDA))):
-        return None
-    d = zlib.decompressobj(47)
-    try:
-        out = d.decompress(raw, MAX_STREAM + 1)
-        if len(out) > MAX_STREAM:
+def inflate(text: str, at: int) -> tuple[bytes, int, bool] | None:
+    """What the gzip or zlib stream holds whose bytes are the characters from `at` on, its end and if it is whole; None for anything else.
+
+    Of a stream that is cut off or damaged it gives what comes before that.
+    """
+    d, out, size, end = zlib.decompressobj(47), [], 0, at
+    while not d.eof and end < len(text):
+        try:
+            piece = text[end : end + STEP].encode("latin-1")
+        except UnicodeEncodeError as e:
+            piece = text[end : end + e.start].encode("latin-1")
+        if not piece:
+            break
+        try:
+            out.append(d.decompress(piece, MAX_STREAM + 1 - size))
+        except zlib.error:
+            # again byte by byte, as a failing call gives nothing
+            d = zlib.decompressobj(47)
+            out, size = [], 0
+            raw = text[at : end + len(piece)].encode("latin-1")
+            for k in range(len(raw)):
+                try:
+                    out.append(d.decompress(raw[k : k + 1]))
+                except zlib.error:
+                    break
+            end = at + k
+            break
+        size += len(out[-1])
+        if size > MAX_STREAM:
             raise Oversized
-        return out if d.eof else None
-    except zlib.error:
-        return None
+        end += len(piece)
+    raw = b"".join(out)
+    if d.eof:
+        return raw, end - len(d.unused_data), True
+    return (raw, end, False) if _WORTH.search(raw) else None
 
 
 def readable(raw: bytes) -> str | None:
@@ -88,6 +124,11 @@ def readable(raw: bytes) -> str | None:
     return s if s and sum(c.isprintable() or c in "\t\r\n" for c in s) >= 0.95 * len(s) else None
 
 
+def characters(raw: bytes) -> str:
+    """raw as text; what isn't UTF-8 text is a character a byte, so that nothing of it is lost."""
+    return readable(raw) or raw.decode("latin-1")
+
+
 class Layer:
     """A text, how it was unwrapped, and the original place of each character; None while it is the original."""
 
@@ -97,7 +138,7 @@ class Layer:
     def span(self, a: int, b: int) -> tuple[int, int]:
         return (a, b) if self.begin is None else (int(self.begin[a:b].min()), int(self.end[a:b].max()))
 
-    def unwrapped(self, name: str, parts: list[tuple[int, int, str, np.ndarray | list[int] | None, np.ndarray | list[int] | None]]) -> Layer:
+    def unwrapped(self, name: tuple[str, ...], parts: list[tuple[int, int, str, np.ndarray | list[int] | None, np.ndarray | list[int] | None]]) -> Layer:
         """The layer with text[a:b] replaced for each part (a, b, new, begins, ends), whose lists are relative to a; None: the whole of a to b."""
         begin = np.arange(len(self.text)) if self.begin is None else self.begin
         end = np.arange(1, len(self.text) + 1) if self.end is None else self.end
@@ -117,7 +158,7 @@ class Layer:
         out.append(self.text[at:])
         bs.append(begin[at:])
         es.append(end[at:])
-        return Layer("".join(out), (*self.path, name), np.concatenate(bs), np.concatenate(es))
+        return Layer("".join(out), (*self.path, *name), np.concatenate(bs), np.concatenate(es))
 
 
 def _chars(s: str, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,23 +172,42 @@ def _url(text: str):
         return
     for m in _URL.finditer(text):
         raw = bytes.fromhex(m[0].replace("%", ""))
-        if (inner := inflate(raw)) is not None:
-            if (s := readable(inner)) is not None:
-                yield m.start(), m.end(), s, None, None
-        else:
-            try:
-                s = raw.decode("utf-8")
-            except UnicodeDecodeError:
-                continue
-            yield m.start(), m.end(), s, *_chars(s, at := 3 * np.arange(len(raw)), at + 3)
+        try:
+            s = raw.decode("utf-8")
+        except UnicodeDecodeError:
+            continue
+        yield m.start(), m.end(), s, *_chars(s, at := 3 * np.arange(len(raw)), at + 3)
 
 
-def _unicode(text: str):
-    if "\\u" not in text and "\\x" not in text and "&#" not in text:
+def _url_bytes(text: str, plus: bool):
+    """Tokens from their first escape on whose bytes aren't UTF-8, a character a byte; plus: + is a space."""
+    if "%" not in text:
+        return
+    for m in _URL_TOKEN.finditer(text):
+        token = m[0]
+        if plus and "+" not in token:
+            continue
+        raw = unquote_to_bytes(token.replace("+", " ") if plus else token)
+        try:
+            raw.decode("utf-8")
+        except UnicodeDecodeError:
+            size = np.array([len(x[0]) for x in _URL_CHAR.finditer(token)])
+            y = np.cumsum(size)
+            yield m.start(), m.end(), raw.decode("latin-1"), y - size, y
+
+
+def _unicode(text: str, simple: bool = False):
+    """Escapes; simple: also those of one letter and octal ones, if a compressed stream starts in escapes."""
+    if "\\u" not in text and "\\x" not in text and "&#" not in text and not (simple and "\\" in text):
+        return
+    if simple and not _ESCAPED_STREAM.search(text):
         return
     found = []
-    for m in _UNICODE.finditer(text):
-        code = int(m[1] or m[2] or m[3] or m[4] or "0", 16) if not m[5] else int(m[5])
+    for m in (_ESCAPE if simple else _UNICODE).finditer(text):
+        if simple and m[6]:
+            code = int(m[6], 8) if m[6][0] in "01234567" else ord(_SIMPLE.get(m[6], m[6]))
+        else:
+            code = int(m[1] or m[2] or m[3] or m[4] or "0", 16) if not m[5] else int(m[5])
         if code < 0x110000:
             found.append((m.start(), m.end(), code))
     i = 0
@@ -179,16 +239,41 @@ def _base64(text: str, shift: int):
         x, y = at[4 * n // 3], at[(4 * n + 6) // 3 - 1] + 1
         if len(raw) and len(at) == len(body):
             y[-1] = b - a
-        if (inner := inflate(raw)) is not None:
-            if (s := readable(inner)) is not None:
-                yield a, b, s, None, None
-        elif (s := readable(raw)) is not None and (shift == 0 or _WORTH.search(raw)):
+        if (s := readable(raw)) is not None and (shift == 0 or _WORTH.search(raw)):
             yield a, b, s, *_chars(s, x, y)
-        elif _WORTH.search(raw):
+        elif _WORTH.search(raw) or _WIDE_BYTES.search(raw) or _STREAM_BYTES.search(raw):
             yield a, b, raw.decode("latin-1"), x, y
 
 
-DECODERS = [("url", _url), ("unicode", _unicode), *(("base64", partial(_base64, shift=k)) for k in range(4))]
+def _streams(text: str, torn: bool):
+    """gzip and zlib streams whose bytes are characters, whole or torn ones; the members of a file follow each other."""
+    if not any(x in text for x in _STREAM_HEADS):
+        return
+    at = 0
+    while m := _STREAM.search(text, at):
+        at = m.start() + 1
+        if (got := inflate(text, m.start())) is not None:
+            raw, at, whole = got
+            if whole != torn:
+                yield m.start(), at, characters(raw), None, None
+
+
+def _wide(text: str):
+    """UTF-16 and UTF-32 whose bytes are characters, without their zeros."""
+    if "\0" not in text:
+        return
+    for m in _WIDE.finditer(text):
+        at = np.array([i for i, c in enumerate(m[0]) if c != "\0"])
+        yield m.start(), m.end(), m[0].replace("\0", ""), at, at + 1
+
+
+#: Names that a layer's path gets, and decoders. Streams and wide characters are a matter of the bytes that a named one found.
+DECODERS = [
+    ((), partial(_streams, torn=False)), ((), partial(_streams, torn=True)), ((), _wide),
+    (("url",), _url), *((("url",), partial(_url_bytes, plus=p)) for p in (False, True)),
+    (("unicode",), _unicode), (("unicode",), partial(_unicode, simple=True)),
+    *((("base64",), partial(_base64, shift=k)) for k in range(4)),
+]
 
 
 def scan(text: str) -> list[tuple[str, str, int, int, str]]:
@@ -211,7 +296,7 @@ def scan(text: str) -> list[tuple[str, str, int, int, str]]:
             try:
                 parts = list(decoder(layer.text))
             except Oversized:
-                found.setdefault(("oversized_stream", *layer.span(0, len(layer.text))), (">".join((*layer.path, name)), ""))
+                found.setdefault(("oversized_stream", *layer.span(0, len(layer.text))), (">".join((*layer.path, *name)) or "text", ""))
                 continue
             if parts:
                 if not seen:
@@ -221,6 +306,8 @@ def scan(text: str) -> list[tuple[str, str, int, int, str]]:
                 if digest not in seen:
                     seen.add(digest)
                     work.append(new)
+                    if decoder is DECODERS[0][1]:
+                        break  # a whole stream is certain: what else the layer holds is decoded in the new one, without its bytes
     return [(rule, path, a, b, secret) for (rule, a, b), (path, secret) in sorted(found.items(), key=lambda x: (x[0][1], x[0][2], x[0][0]))]
 
 

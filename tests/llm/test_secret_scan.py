@@ -96,3 +96,21 @@ def test_urlsafe_and_wrapped_base64():
                 got = [g for g in S.scan(before + wrapped + "\nmore words") if g[0] == "aws_access_key"]
                 assert [g[4] for g in got] == [KEY], (text, width, before)
                 assert len(before) <= got[0][2] < got[0][3] <= len(before) + len(wrapped)
+
+
+def test_binary_layers_are_followed():
+    rng = random.Random(13)
+    text = f"vör {''.join(chr(rng.randint(33, 700)) for _ in range(300))} {KEY} {''.join(chr(rng.randint(33, 700)) for _ in range(300))}".encode()
+    gz = lambda b: gzip.compress(b, mtime=0)
+    blob = rng.randbytes(200) + b"\0" + KEY.encode() + b"\0" + rng.randbytes(200)
+    raws = {"plain": gz(text), "twice": gz(gz(text)), "thrice": zlib.compress(gz(zlib.compress(text))), "member": gz(b"first") + gz(b"second") + gz(text), "after a stream": gz(b"first") + text, "inside": blob + gz(text), "blob": blob, "blob packed": gz(blob), "torn": gz(text)[:-6], "wide packed": gz(text.decode("utf-8").encode("utf-16"))}
+    raws |= {w: text.decode().encode(w) for w in ("utf-16", "utf-16-le", "utf-16-be", "utf-32")}
+    for name, raw in raws.items():
+        ways = {"base64": b64(raw), "url-safe": base64.urlsafe_b64encode(raw).decode(), "quoted": quote(raw), "quoted all": "".join(f"%{c:02x}" for c in raw), "plus": quote(raw, safe=" ").replace(" ", "+"), "repr": repr(raw), "x": "".join(f"\\x{c:02x}" for c in raw), "json": json.dumps(raw.decode("latin-1")), "octal": "".join(f"\\{c:03o}" for c in raw), "twice": b64(quote(raw))}
+        for way, s in ways.items():
+            if way in ("octal",) and raw[:2] != b"\x1f\x8b":
+                continue
+            got = S.scan(f"see {s} end")
+            assert KEY in {g[4] for g in got}, (name, way)
+            # what follows a torn stream may be taken for the rest of it
+            assert all(4 <= g[2] < g[3] <= 4 + len(s) for g in got) or name == "torn", (name, way)
