@@ -20,6 +20,7 @@ import zlib
 from collections import Counter, deque
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 from urllib.parse import unquote_to_bytes
 
 import numpy as np
@@ -44,8 +45,9 @@ RULES: dict[str, tuple[tuple[str, ...], re.Pattern[str]]] = {
 }
 #: Bits a character that an assigned secret has at least; words and file names have less.
 ENTROPY = 2.8
-#: Characters that a compressed stream may unwrap to; a larger one is reported as oversized_stream instead of being unwrapped.
+#: Characters that a compressed stream may unwrap to; a larger one is reported as oversized_stream and scanned in pieces of PIECE, each with the last OVERLAP of the one before.
 MAX_STREAM = 64 << 20
+PIECE, OVERLAP = 4 << 20, 1 << 18
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
@@ -75,14 +77,11 @@ def entropy(s: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values())
 
 
-class Oversized(Exception):
-    pass
-
-
-def inflate(text: str, at: int) -> tuple[bytes, int, bool] | None:
+def inflate(text: str, at: int) -> tuple[bytes | None, int, bool] | None:
     """What the gzip or zlib stream holds whose bytes are the characters from `at` on, its end and if it is whole; None for anything else.
 
-    Of a stream that is cut off or damaged it gives what comes before that.
+    Of a stream that is cut off or damaged it gives what comes before that. One
+    above MAX_STREAM gives None for what it holds.
     """
     d, out, size, end = zlib.decompressobj(47), [], 0, at
     while not d.eof and end < len(text):
@@ -107,9 +106,9 @@ def inflate(text: str, at: int) -> tuple[bytes, int, bool] | None:
             end = at + k
             break
         size += len(out[-1])
-        if size > MAX_STREAM:
-            raise Oversized
         end += len(piece)
+        if size > MAX_STREAM:
+            return None, at, True
     raw = b"".join(out)
     if d.eof:
         return raw, end - len(d.unused_data), True
@@ -221,6 +220,13 @@ def _unicode(text: str, simple: bool = False):
             yield a, b, chr(code), [0], [b - a]
 
 
+def _holds_stream(raw: bytes) -> bool:
+    if not _STREAM_BYTES.search(raw):
+        return False
+    text = raw.decode("latin-1")
+    return any(inflate(text, m.start()) is not None for m in _STREAM.finditer(text))
+
+
 def _base64(text: str, shift: int):
     """Parts that are base64 from their character of number shift on; what stands before it may be no base64, but a word or a path."""
     last = 0
@@ -241,7 +247,7 @@ def _base64(text: str, shift: int):
             y[-1] = b - a
         if (s := readable(raw)) is not None and (shift == 0 or _WORTH.search(raw)):
             yield a, b, s, *_chars(s, x, y)
-        elif _WORTH.search(raw) or _WIDE_BYTES.search(raw) or _STREAM_BYTES.search(raw):
+        elif _WORTH.search(raw) or _WIDE_BYTES.search(raw) or _holds_stream(raw):
             yield a, b, raw.decode("latin-1"), x, y
 
 
@@ -253,11 +259,93 @@ def _streams(text: str, torn: bool):
     while m := _STREAM.search(text, at):
         at = m.start() + 1
         if (got := inflate(text, m.start())) is not None:
-            raw, at, whole = got
+            raw, end, whole = got
+            if raw is None:
+                if not torn:
+                    large = Large(text, m.start())
+                    yield m.start(), (at := large.end()), large, None, None
+                else:
+                    at = Large(text, m.start()).end()
+                continue
+            at = end
             if whole != torn:
                 yield m.start(), at, characters(raw), None, None
 
 
+class Large:
+    """A stream above MAX_STREAM, which is never held whole."""
+
+    def __init__(self, text: str, at: int):
+        self.text, self.at = text, at
+
+    def end(self) -> int:
+        for _, end in self._chunks():
+            pass
+        return end
+
+    def _chunks(self) -> Iterator[tuple[bytes, int]]:
+        """(bytes, place in the text so far): what the stream holds, up to where it ends or is damaged."""
+        d, at = zlib.decompressobj(47), self.at
+        try:
+            while not d.eof and at < len(self.text):
+                piece = self.text[at : at + STEP].encode("latin-1", "replace")
+                while piece and not d.eof:
+                    out = d.decompress(piece, PIECE)
+                    piece = d.unconsumed_tail
+                    yield out, min(at + STEP, len(self.text)) - len(piece) - len(d.unused_data)
+                at += STEP
+            if not d.eof:
+                yield d.flush(), len(self.text)
+        except zlib.error:
+            return
+
+    def pieces(self) -> Iterator[bytes]:
+        """What the stream holds, unwrapped further while it starts with another stream, in overlapping pieces."""
+        chunks, heads = (c for c, _ in self._chunks()), set()
+        while True:
+            head = b""
+            for c in chunks:
+                head += c
+                if len(head) >= OVERLAP:
+                    break
+            key = hashlib.sha256(head[:OVERLAP]).digest()
+            chunks = chain((head,), chunks)
+            if key in heads or not _STREAM_BYTES.match(head) or zlib_starts(head) is None:
+                break
+            heads.add(key)
+            chunks = _inflated(chunks)
+        held = b""
+        for c in chunks:
+            held += c
+            while len(held) >= PIECE:
+                yield held[:PIECE]
+                held = held[PIECE - OVERLAP :]
+        yield held
+
+
+def zlib_starts(head: bytes) -> bytes | None:
+    try:
+        return zlib.decompressobj(47).decompress(head, PIECE) or None
+    except zlib.error:
+        return None
+
+
+def _inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """What the streams, one after the other, hold whose bytes come in chunks, up to what is none."""
+    d = zlib.decompressobj(47)
+    try:
+        for c in chunks:
+            while c:
+                if d.eof:
+                    d = zlib.decompressobj(47)
+                yield d.decompress(c, PIECE)
+                c = d.unused_data if d.eof else d.unconsumed_tail
+        if not d.eof:
+            yield d.flush()
+    except zlib.error:
+        return
+
+
 def _wide(text: str):
     """UTF-16 and UTF-32 whose bytes are characters, without their zeros."""
     if "\0" not in text:
@@ -276,10 +364,14 @@ DECODERS = [
 ]
 
 
-def scan(text: str) -> list[tuple[str, str, int, int, str]]:
-    """(rule, path of layers, begin, end, secret), each place and rule once, by the outermost layer that shows it."""
+def scan(text: str, path: tuple[str, ...] = ()) -> list[tuple[str, str, int, int, str]]:
+    """(rule, path of layers, begin, end, secret), each place and rule once, by the outermost layer that shows it.
+
+    A large stream is one place: each of its secrets is given with its span.
+    """
     found: dict[tuple[str, int, int], tuple[str, str]] = {}
-    work, seen = deque([Layer(text)]), set()
+    several: dict[tuple[str, int, int, str], str] = {}
+    work, seen, large = deque([Layer(text, path)]), set(), set()
     while work:
         layer = work.popleft()
         low = layer.text.lower()
@@ -293,11 +385,19 @@ def scan(text: str) -> list[tuple[str, str, int, int, str]]:
                 a, b = layer.span(m.start(m.lastindex), m.end(m.lastindex))
                 found.setdefault((rule, a, b), (">".join(layer.path) or "text", secret))
         for name, decoder in DECODERS:
-            try:
-                parts = list(decoder(layer.text))
-            except Oversized:
-                found.setdefault(("oversized_stream", *layer.span(0, len(layer.text))), (">".join((*layer.path, *name)) or "text", ""))
-                continue
+            parts = list(decoder(layer.text))
+            for i, (a, b, new, *_) in enumerate(parts):
+                if isinstance(new, Large):
+                    span = layer.span(a, b)
+                    found.setdefault(("oversized_stream", *span), (">".join(layer.path) or "text", ""))
+                    for piece in new.pieces():
+                        digest = hashlib.sha256(piece).digest()
+                        if digest in large:
+                            continue
+                        large.add(digest)
+                        for rule, path, _, _, secret in scan(characters(piece), layer.path):
+                            several[rule, *span, secret] = path
+                    parts[i] = (a, b, " ", None, None)
             if parts:
                 if not seen:
                     seen.add(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest())
@@ -308,7 +408,8 @@ def scan(text: str) -> list[tuple[str, str, int, int, str]]:
                     work.append(new)
                     if decoder is DECODERS[0][1]:
                         break  # a whole stream is certain: what else the layer holds is decoded in the new one, without its bytes
-    return [(rule, path, a, b, secret) for (rule, a, b), (path, secret) in sorted(found.items(), key=lambda x: (x[0][1], x[0][2], x[0][0]))]
+    rows = {(rule, path, a, b, secret) for (rule, a, b), (path, secret) in found.items()} | {(rule, path, a, b, secret) for (rule, a, b, secret), path in several.items() if found.get((rule, a, b), ("", None))[1] != secret}
+    return sorted(rows, key=lambda x: (x[2], x[3], x[0], x[4]))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -114,3 +114,18 @@ def test_binary_layers_are_followed():
             assert KEY in {g[4] for g in got}, (name, way)
             # what follows a torn stream may be taken for the rest of it
             assert all(4 <= g[2] < g[3] <= 4 + len(s) for g in got) or name == "torn", (name, way)
+
+
+def test_oversized_streams_hide_nothing(monkeypatch):
+    monkeypatch.setattr(S, "MAX_STREAM", 3 << 20)
+    monkeypatch.setattr(S, "PIECE", 1 << 20)
+    other, third = "ASIA" + "87654321HGFEDCBA", "AKIA" + "0000111122223333"
+    inner = b"x" * (2 << 20) + f" {KEY} ".encode() + b"y" * (1 << 20) + f" {other} ".encode() + bytes(1 << 20)
+    for raw in (zlib.compress(inner), gzip.compress(inner), gzip.compress(zlib.compress(random.Random(1).randbytes(1 << 14) + inner)), gzip.compress(b"a") + gzip.compress(inner)):
+        big = b64(raw)
+        text = f"first {b64('id ' + third + ' ende')} then {big} and {b64('pad ' + third + ' pad')} last {b64(gzip.compress(third.encode()))}"
+        got = S.scan(text)
+        at = text.index(big)
+        assert {g[4] for g in got if g[0] == "aws_access_key" and at <= g[2] < g[3] <= at + len(big)} == {KEY, other}
+        assert sum(g[4] == third for g in got) == 3 and len(got) == 6
+        assert [at <= g[2] < g[3] <= at + len(big) for g in got if g[0] == "oversized_stream"] == [True]
