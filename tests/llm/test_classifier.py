@@ -48,3 +48,15 @@ def test_no_labels(spark):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     got = {r.doc_id: r.p_good for r in C.classify(docs, labels).collect()}
     assert abs(got[1] - 1 / 3) < 1e-9 and got[None] is None
+
+
+def test_kept_leaves_few_toxic_documents(spark, data):
+    at = data.replace("sf0.001", "sf0.1")
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    train, test = labels.where("doc_id % 3 <> 0"), labels.where("doc_id % 3 = 0")
+    seen = {r.text for r in C.labelled(docs, train)}
+    held = [r for r in docs.join(test, "doc_id").collect() if r.text not in seen]
+    ids = {r.doc_id for r in C.kept(docs.join(test.select("doc_id"), "doc_id").unionByName(docs.join(train.select("doc_id"), "doc_id")), train).collect()}
+    share = lambda rows: np.mean([r.doc_id in ids for r in rows])
+    good, toxic = [r for r in held if r.quality == 1 and r.toxic == 0], [r for r in held if r.toxic == 1]
+    assert share(toxic) < 0.25 and share([r for r in toxic if len(r.text.split()) >= 200]) < 0.3 and share(good) > 0.92
