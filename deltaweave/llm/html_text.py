@@ -42,7 +42,16 @@ LABELLED = [
 ]
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>", re.S)
-_SKIP = re.compile(r"(?is)(<(script|style|noscript|template|head|svg|textarea|select|iframe)\b[^>]*>)(.*?)(</\2\s*>|\Z)")
+#: What isn't shown. Only script, style and textarea reach to the end of the page if nothing closes them; a head ends at the first element that
+#: can't stand in one, and of other unclosed elements only the tag goes. A self-closed svg is empty.
+_ATTRIBUTES = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*"
+_SKIP = re.compile(
+    rf"(?is)<svg\b{_ATTRIBUTES}/>"
+    rf"|<(script|style|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    rf"|<head\b[^>]*>(?:<!--.*?-->|<(script|style|noscript|template|title)\b[^>]*>.*?</\2\s*>|<(?:meta|link|base|basefont|bgsound)\b[^>]*>|[^<]|<(?=[^A-Za-z/!]))*(?:</head\s*>)?"
+    rf"|<(noscript|template|svg|select|iframe)\b[^>]*>.*?</\3\s*>"
+)
+_PAIRED = re.compile(r"(?i)<(/?)(noscript|template|svg|select|iframe)\b")
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 
 
@@ -99,9 +108,15 @@ def tree() -> Tree:
     return Tree(t[:, :-1], t[:, -1])
 
 
+def _unpaired(page: str) -> str:
+    """page with the openings that nothing closes as plain divisions, so that no search for their ends runs through all of it."""
+    last = {m[2].lower(): m.start() for m in _PAIRED.finditer(page) if m[1]}
+    return _PAIRED.sub(lambda m: m[0] if m[1] or m.start() < last.get(m[2].lower(), -1) else "<div", page)
+
+
 def blocks(page: str) -> list[tuple[str, int, int]]:
     """(text, words, words in links) of each block, in order."""
-    page = _SKIP.sub(" <p> ", page) if "<" in page else page
+    page = _SKIP.sub(" <p> ", _unpaired(page)) if "<" in page else page
     out: list[tuple[str, int, int]] = []
     text: list[str] = []
     link, linked, at = False, 0, 0

@@ -43,3 +43,13 @@ def test_odd_pages(spark):
     assert (1, None, 0) in got and (None, "", 0) in got and got.count((2, "", 1)) == 2  # single words are no content
     assert H.extract(df.limit(0)).count() == 0
     assert H.extract(df.selectExpr("*", "1 as text", "2 as HTML", "3 as n_blocks")).count() == 4
+
+
+def test_unclosed_elements_hide_no_paragraph():
+    body = "word " * 30
+    want = [(body.strip(), 30, 0)]
+    for start in ("<html><head><title>T</title><body>", "<head><meta charset=utf-8><title>a > b</title><script>var a='<p>'</script><style>p {}</style>", "<head><!-- <p>no</p> --><link href='x'>", "<head><title>T</title></head>", "<svg/>", "<svg width='1' viewBox=\"0 0 1 1\" />", "<svg><path d='M0'/></svg>", "<noscript>", "<iframe src='x'>", "<select>", "<svg>", "<template>", "<head>"):
+        assert H.blocks(f"{start}<p>{body}") == want, start
+    for tag in ("script", "style", "textarea"):
+        assert H.blocks(f"<p>{body}<{tag}>rest <p>more") == want
+    assert len(H.blocks("<svg><select>" * 50_000 + f"<p>{body}")) == 1
