@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -34,13 +35,35 @@ def pick(df: DataFrame, **types: str) -> DataFrame:
     return pos.select(*[F.col(column(names, k)).cast(t).alias(k) for k, t in types.items()])
 
 
+#: Folders of this session's intermediate tables, for release.
+_folders: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a temporary one only where it is unset, as in tests."""
+    """A new folder below spark.checkpoint.dir, which all executors share.
+
+    Where that is unset, a session whose executors are threads of this process
+    (master local) gets a temporary folder; on a cluster it is an error, as
+    executors don't see each other's disks.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="deltaweave-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/deltaweave-{uuid.uuid4().hex}"
+    _folders.append(f"{base.rstrip('/')}/deltaweave-{uuid.uuid4().hex}")
+    return _folders[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes all intermediate tables written so far, and gives their number. What was derived from them can't be read any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    n = 0
+    while _folders:
+        path = jvm.org.apache.hadoop.fs.Path(_folders.pop())
+        n += path.getFileSystem(conf).delete(path, True)
+    return n
 
 
 def stored(df: DataFrame, *partition_by: str) -> DataFrame:
@@ -51,12 +74,6 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def local_path(path: str) -> str | None:
-    """The path of a file URI, None for other file systems."""
-    u = urlparse(path)
-    return u.path if u.scheme in ("", "file") else None
-
-
 def open_shared(path: str):
     """(file system, path) for pyarrow, for whatever file system the cluster shares."""
     from pyarrow import fs
@@ -65,7 +82,10 @@ def open_shared(path: str):
 
 
 def drop_ids(docs: DataFrame, key: str, ids: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """docs without the rows whose key is in ids (one long column, stored). Rows with a null key stay."""
+    """docs without the rows whose key is in ids (one long column, stored). Rows with a null key stay.
+
+    Up to limit ids are sent to every executor; more are joined as Spark sees fit.
+    """
     small = ids.limit(limit + 1).count() <= limit
     right = ids.toDF("_drop")
-    return docs.join(F.broadcast(right) if small else right.hint("shuffle_hash"), F.col(key) == F.col("_drop"), "left_anti")
+    return docs.join(F.broadcast(right) if small else right, F.col(key) == F.col("_drop"), "left_anti")

@@ -1,23 +1,20 @@
 """Line dedup through a sharded minimal perfect hash.
 
-The distinct 64-bit line hashes of all documents are split into shards. Each
-shard is a minimal perfect hash (a cascade of bit arrays with ranks, after
-Limasset, Rizk, Chikhi and Peterlongo, "Fast and Scalable Minimal Perfect
-Hashing for Massive Key Sets", 2017) that numbers its lines without holding
-them, and three arrays by number: a 32-bit fingerprint, the number of documents
-with the line, and the least doc_id that has it. Shards are Parquet files in
-the shared folder.
-
-Documents then probe the arrays. While all shards together are below
-RESIDENT_BYTES, every task reads them and rewrites its documents in one pass,
-without a shuffle. Beyond that, only hashes travel: each is probed where its
-shard is loaded, and the hashes to drop are joined to their documents. Both
-ways give the same result.
+The distinct lines of every batch of documents are hashed to 128 bits and sent
+to shards. Each shard is a minimal perfect hash (a cascade of bit arrays with
+ranks, after Limasset, Rizk, Chikhi and Peterlongo, "Fast and Scalable Minimal
+Perfect Hashing for Massive Key Sets", 2017) that numbers its lines without
+holding them, and three arrays by number: a 32-bit fingerprint, the number of
+documents with the line, and the least doc_id that has it. The batches' lines
+probe these arrays where the shard is; only the lines to drop go back, by
+batch, and the documents are rewritten where they are. No text is moved or
+joined, and the way is the same at every size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as X
-from .frames import column, open_shared, positional, shared_dir, stored
+from .batches import Answers, numbered, runs
+from .frames import column, positional, stored
 
 U64 = X.U64
 #: Documents with a line from which on it stays in the first of them only.
 MIN_DOCS = 6
-#: Distinct lines of a shard, about, and the largest index that every task loads whole.
-SHARD_LINES, RESIDENT_BYTES = 1_000_000, 96 << 20
+#: Lines that are routed to a shard, about.
+SHARD_LINES = 1_000_000
 GAMMA = 2.0
 
 
@@ -39,38 +37,35 @@ GAMMA = 2.0
 
 
 class MinimalPerfectHash:
-    """Numbers n distinct 64-bit keys from 0 to n-1 in about four bits a key."""
+    """Numbers n distinct 128-bit keys, rows of two words, from 0 to n-1 in about four bits a key."""
 
-    def __init__(self, bits: list[np.ndarray], sizes: list[int], rest: np.ndarray):
-        self.bits, self.sizes, self.rest = bits, sizes, rest
+    def __init__(self, bits: list[np.ndarray], sizes: list[int]):
+        self.bits, self.sizes = bits, sizes
         self.ranks, self.base, at = [], [], 0
         for b in bits:
-            ones = np.bitwise_count(b).astype(np.int64)
-            rank = np.concatenate(([0], np.cumsum(ones)))
+            rank = np.concatenate(([0], np.cumsum(np.bitwise_count(b).astype(np.int64))))
             self.ranks.append(rank)
             self.base.append(at)
             at += int(rank[-1])
-        self.placed = at
 
     @staticmethod
     def slot(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-        h = X.mix(keys ^ X.seed_of(501, level))
+        h = X.mix(X.mix(keys[:, 0] ^ X.seed_of(501, level)) + keys[:, 1])
         return ((h >> U64(32)) * U64(size) >> U64(32)).astype(np.int64)
 
     @classmethod
     def build(cls, keys: np.ndarray) -> MinimalPerfectHash:
         bits, sizes = [], []
-        level = 0
-        while len(keys) and level < 60:
+        while len(keys):
+            if len(bits) == 1000:
+                raise ValueError("keys repeat")
             size = max(64, int(len(keys) * GAMMA + 63) // 64 * 64)
-            at = cls.slot(keys, level, size)
+            at = cls.slot(keys, len(bits), size)
             alone = np.bincount(at, minlength=size) == 1
-            words = np.packbits(alone, bitorder="little").view(np.uint64)
-            bits.append(words)
+            bits.append(np.packbits(alone, bitorder="little").view(np.uint64))
             sizes.append(size)
             keys = keys[~alone[at]]
-            level += 1
-        return cls(bits, sizes, np.sort(keys))
+        return cls(bits, sizes)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         """The number of each key; any number, or -1, for a key that isn't held."""
@@ -86,46 +81,25 @@ class MinimalPerfectHash:
             below = np.bitwise_count(w[hit] & ((U64(1) << bit[hit]) - U64(1))).astype(np.int64)
             out[open_[hit]] = self.base[level] + self.ranks[level][word[hit]] + below
             open_ = open_[~hit]
-        if len(open_) and len(self.rest):
-            at = np.minimum(np.searchsorted(self.rest, keys[open_]), len(self.rest) - 1)
-            hit = self.rest[at] == keys[open_]
-            out[open_[hit]] = self.placed + at[hit]
         return out
 
-    def dump(self) -> bytes:
-        head = np.array([len(self.bits), len(self.rest), *self.sizes], dtype=np.int64)
-        return b"".join([np.int64(len(head)).tobytes(), head.tobytes(), *[b.tobytes() for b in self.bits], self.rest.tobytes()])
-
-    @classmethod
-    def load(cls, raw: bytes) -> MinimalPerfectHash:
-        n = int(np.frombuffer(raw, np.int64, 1)[0])
-        head = np.frombuffer(raw, np.int64, n, 8)
-        at, bits, sizes = 8 + 8 * n, [], head[2:].tolist()
-        for size in sizes:
-            bits.append(np.frombuffer(raw, np.uint64, size // 64, at))
-            at += size // 8
-        return cls(bits, sizes, np.frombuffer(raw, np.uint64, int(head[1]), at))
+    def size(self) -> int:
+        """Bytes of the bit arrays."""
+        return sum(b.nbytes for b in self.bits)
 
 
 def fingerprint(keys: np.ndarray) -> np.ndarray:
-    return (X.mix(keys ^ X.seed_of(502)) >> U64(32)).astype(np.uint32)
+    return (X.mix(keys[:, 1] ^ X.seed_of(502)) >> U64(32)).astype(np.uint32)
 
 
 class Shard:
     """The arrays of one shard, probed by line hash."""
 
-    def __init__(self, index: bytes, prints: bytes, docs: bytes, owners: bytes):
-        self.index = MinimalPerfectHash.load(index)
-        self.prints, self.docs, self.owners = np.frombuffer(prints, np.uint32), np.frombuffer(docs, np.uint32), np.frombuffer(owners, np.int64)
-
-    @staticmethod
-    def pack(keys: np.ndarray, docs: np.ndarray, owners: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
-        f = MinimalPerfectHash.build(keys)
-        at = f(keys)
-        out = [np.empty(len(keys), t) for t in (np.uint32, np.uint32, np.int64)]
-        for x, y in zip(out, (fingerprint(keys), np.minimum(docs, 2**32 - 1), owners), strict=True):
-            x[at] = y
-        return (f.dump(), *[x.tobytes() for x in out])
+    def __init__(self, keys: np.ndarray, docs: np.ndarray, owners: np.ndarray):
+        self.index = MinimalPerfectHash.build(keys)
+        at = self.index(keys)
+        self.prints, self.docs, self.owners = (np.empty(len(keys), t) for t in (np.uint32, np.uint32, np.int64))
+        self.prints[at], self.docs[at], self.owners[at] = fingerprint(keys), np.minimum(docs, 2**32 - 1), owners
 
     def probe(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Documents and owner of each line; 0 documents if the fingerprint says that the line isn't held."""
@@ -140,8 +114,8 @@ class Shard:
 # --- lines
 
 
-def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of all lines, and the bounds of each text. Every text has a line at least; a blank line's hash is 0."""
+def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes | None], np.ndarray]:
+    """Starts, ends and hashes of all lines, and the bounds of each text. Every text has a line at least; a blank line has no hash."""
     cut = np.flatnonzero(data == 10)
     starts = np.sort(np.concatenate((offsets[:-1], cut + 1)), kind="stable")
     owner_of_cut = np.searchsorted(offsets, cut, side="right") - 1
@@ -151,9 +125,10 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     ends = np.empty_like(starts)
     ends[:-1] = starts[1:] - 1
     ends[bounds[1:] - 1] = offsets[1:]
-    h = X.span_hash(X.prefix_hash(data), starts, ends)
     visible = np.concatenate(([0], np.cumsum(np.take(X.NOT_SPACE, data))))
-    h[visible[ends] == visible[starts]] = 0
+    shown = visible[ends] > visible[starts]
+    raw = memoryview(np.ascontiguousarray(data))
+    h = [blake2b(raw[a:b], digest_size=16).digest() if s else None for a, b, s in zip(starts.tolist(), ends.tolist(), shown.tolist(), strict=True)]
     return starts, ends, h, bounds
 
 
@@ -171,173 +146,117 @@ def rewrite(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, bounds: n
     return data[mask], total[offsets]
 
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, doc_id): the distinct lines of each document."""
-    for batch in batches:
-        ids = batch.column(0).to_numpy()
-        data, offsets = X.strings(batch.column(1))
-        for i, j in X.pieces(offsets):
-            _, _, h, bounds = lines(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            of = np.repeat(ids[i:j], np.diff(bounds))
-            first = X.sort_segments(h, bounds) & (h != 0)
-            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(of[first])], names=["h", "doc_id"])
-
+def words(h: list[bytes]) -> np.ndarray:
+    """Hashes as rows of two words."""
+    return np.frombuffer(b"".join(h), np.uint64).reshape(-1, 2)
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (doc_id, text, batch), (h1, h2, batch, n, owner): each batch's distinct lines, the rows that have them and the least doc_id of these."""
+    for rb in batches:
+        for a, b, batch in runs(rb.column(2).to_numpy()):
+            part = rb.slice(a, b - a)
+            ids = part.column(0).to_numpy().tolist()
+            data, offsets = X.strings(part.column(1))
+            n: dict[bytes, int] = {}
+            own: dict[bytes, int] = {}
+            for i, j in X.pieces(offsets):
+                _, _, h, bounds = lines(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                for k, d in enumerate(ids[i:j]):
+                    for x in set(h[bounds[k] : bounds[k + 1]]):
+                        n[x] = n.get(x, 0) + 1
+                        if d <= own.get(x, d):
+                            own[x] = d
+            n.pop(None, None)
+            h2 = words(list(n)).view(np.int64)
+            cols = (h2[:, 0], h2[:, 1], np.full(len(h2), batch), np.fromiter(n.values(), np.int64, len(n)), np.fromiter((own[x] for x in n), np.int64, len(n)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["h1", "h2", "batch", "n", "owner"])
+
+
+def _probed(min_docs: int):
+    """Of rows (shard, h1, h2, batch, n, owner) sorted by these, (batch, h1, h2, owner): the lines of each batch that min_docs rows have in all."""
+
+    def answers(t: pa.Table) -> pa.RecordBatch:
+        keys = np.stack([t.column(c).to_numpy() for c in ("h1", "h2")], axis=1).view(np.uint64)
+        at = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
+        shard = Shard(keys[at], np.add.reduceat(t.column("n").to_numpy(), at), np.minimum.reduceat(t.column("owner").to_numpy(), at))
+        docs, owners = shard.probe(keys)
+        ok = docs >= min_docs
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[ok])) for x in (t.column("batch").to_numpy(), keys[:, 0].view(np.int64), keys[:, 1].view(np.int64), owners)], names=["batch", "h1", "h2", "owner"])
 
-def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
-    return ((X.mix(h ^ X.seed_of(503)) >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
-
-
-_SHARD = "shard int, lines bigint, index binary, prints binary, docs binary, owners binary"
-
-
-def _pack(shards: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a partition holds whole shards
-        got = [b for b in batches if len(b)]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        h, docs, owners = t.column("h").to_numpy().view(np.uint64), t.column("docs").to_numpy(), t.column("owner").to_numpy()
-        s = shard_of(h, shards)
-        for x in np.unique(s).tolist():
-            m = s == x
-            yield pa.RecordBatch.from_arrays([pa.array([v], ty) for v, ty in zip((x, int(m.sum()), *Shard.pack(h[m], docs[m], owners[m])), (pa.int32(), pa.int64(), *[pa.large_binary()] * 4), strict=True)], names=["shard", "lines", "index", "prints", "docs", "owners"])
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            for x, y, shard in runs(b.column(0).to_numpy()):
+                if held and held[-1].column(0)[0].as_py() != shard:
+                    yield answers(pa.Table.from_batches(held))
+                    held = []
+                held.append(b.slice(x, y - x))
+        if held:
+            yield answers(pa.Table.from_batches(held))
 
     return f
 
 
-class Index:
-    """The shards below a folder; a task keeps those that it has read."""
-
-    _held: dict[str, dict[int, Shard]] = {}
-
-    def __init__(self, path: str, shards: int):
-        self.path, self.shards = path, shards
-
-    def shard(self, k: int) -> Shard | None:
-        if self.path not in Index._held:
-            Index._held = {self.path: {}}  # shards of an earlier index go
-        held = Index._held[self.path]
-        if k not in held:
-            import pyarrow.dataset as ds
-
-            files, at = open_shared(f"{self.path}/shard={k}")
-            from pyarrow import fs
-
-            if files.get_file_info(at).type == fs.FileType.NotFound:
-                held[k] = None
-            else:
-                t = ds.dataset(at, filesystem=files, format="parquet").to_table(columns=["index", "prints", "docs", "owners"])
-                held[k] = Shard(*[t.column(c)[0].as_py() for c in t.column_names])
-        return held[k]
-
-    def probe(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        docs, owners = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-        s = shard_of(h, self.shards)
-        for k in np.unique(s).tolist():
-            m = np.flatnonzero(s == k)
-            if (shard := self.shard(k)) is not None:
-                docs[m], owners[m] = shard.probe(h[m])
-        return docs, owners
+def _rewrite(batches: Iterator[pa.RecordBatch], at_id: int, at_text: int, found: Answers) -> Iterator[pa.RecordBatch]:
+    batch, owners = None, {}
+    for rb in batches:
+        for a, b, now in runs(rb.column(rb.num_columns - 1).to_numpy()):
+            if now != batch:
+                h1, h2, own = found.of(now)
+                raw = np.stack([h1, h2], axis=1).tobytes()
+                batch, owners = now, {raw[16 * i : 16 * i + 16]: o for i, o in enumerate(own.tolist())}
+            rows = rb.slice(a, b - a)
+            _, sizes = X.strings(rows.column(at_text))
+            for i, j in X.pieces(sizes):
+                part = rows.slice(i, j - i)
+                ids = part.column(at_id).cast(pa.int64()).to_pylist()
+                null_text = part.column(at_text).is_null().to_numpy(zero_copy_only=False)
+                data, offsets = X.strings(part.column(at_text))
+                starts, _, h, bounds = lines(data, offsets)
+                size = np.diff(bounds)
+                drop = np.zeros(len(h), bool)
+                for k, (x, y, d) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), ids, strict=True)):
+                    if d is not None and not null_text[k]:
+                        drop[x:y] = [owners.get(z, d) != d for z in h[x:y]]
+                out, new = rewrite(data, offsets, starts, bounds, drop)
+                cols = list(part.columns[:-1])
+                cols[at_text] = X.to_strings(out, new, null_text)
+                dropped = X.segment_sum(drop.astype(np.int64), bounds).astype(np.int32)
+                total = np.where(null_text, 0, size).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(total), pa.array(dropped)], names=[*part.schema.names[:-1], "n_lines", "n_dropped"])
+
+
+def repeated_lines(rows: DataFrame, min_docs: int = MIN_DOCS, shard_lines: int = SHARD_LINES) -> Answers:
+    """For each batch of rows (doc_id bigint, text, batch bigint; no nulls) the lines that min_docs rows have, with the least doc_id."""
+    asked = stored(rows.mapInArrow(lambda it: X.tidy(_asked(it)), "h1 bigint, h2 bigint, batch bigint, n bigint, owner bigint"))
+    n, batches = asked.agg(F.count("*"), F.approx_count_distinct("batch")).first()
+    shards = max(1, -(-n // shard_lines))
+    shard = F.pmod(F.xxhash64("h1", "h2"), F.lit(shards)).cast("int").alias("shard")
+    routed = asked.select(shard, "*").repartition(shards, "shard").sortWithinPartitions("shard", "h1", "h2")
+    return Answers.write(routed.mapInArrow(_probed(min_docs), "batch bigint, h1 bigint, h2 bigint, owner bigint"), ["h1", "h2", "owner"], batches)
 
 
-def build_index(docs: DataFrame, shard_lines: int = SHARD_LINES) -> tuple[Index, int]:
-    """Index of the distinct lines of docs (doc_id bigint not null, text), and its size in bytes."""
-    spark = docs.sparkSession
-    per_line = docs.mapInArrow(lambda it: X.tidy(_hashes(it)), "h bigint, doc_id bigint").groupBy("h").agg(F.count("*").alias("docs"), F.min("doc_id").alias("owner"))
-    table = stored(per_line)
-    n = table.count()
-    shards = max(1, -(-n // shard_lines))
-    path = shared_dir(spark)
-    with_shard = table.mapInArrow(lambda it: _with_shard(it, shards), "shard int, h bigint, docs bigint, owner bigint")
-    packed = with_shard.repartition(shards, "shard").mapInArrow(_pack(shards), _SHARD)
-    packed.write.partitionBy("shard").parquet(path)
-    return Index(path, shards), n * 17
-
-
-def _with_shard(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(shard_of(b.column(0).to_numpy().view(np.uint64), shards).astype(np.int32)), *b.columns], names=["shard", "h", "docs", "owner"])
-
-
-def _rewrite(batches: Iterator[pa.RecordBatch], at_id: int, at_text: int, at_drop: int | None, index: Index | None, min_docs: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i, j, part in _parts(batch, at_text):
-            ids = part.column(at_id).cast(pa.int64())
-            null_id = ids.is_null().to_numpy(zero_copy_only=False)
-            ids = ids.fill_null(0).to_numpy()
-            null_text = part.column(at_text).is_null().to_numpy(zero_copy_only=False)
-            data, offsets = X.strings(part.column(at_text))
-            starts, _, h, bounds = lines(data, offsets)
-            size = np.diff(bounds)
-            if index is not None:
-                docs, owners = index.probe(h)
-                drop = (docs >= min_docs) & (owners != np.repeat(ids, size)) & (h != 0)
-            else:
-                drop = np.zeros(len(h), bool)
-                for k, x in enumerate(part.column(at_drop)):
-                    if x.is_valid:
-                        drop[bounds[k] : bounds[k + 1]] = np.isin(h[bounds[k] : bounds[k + 1]], np.array(x.values.to_numpy()).view(np.uint64))
-            drop &= ~np.repeat(null_id, size)
-            out, new = rewrite(data, offsets, starts, bounds, drop)
-            cols = list(part.columns)
-            cols[at_text] = X.to_strings(out, new, null_text)
-            if at_drop is not None:
-                cols.pop(at_drop)
-            dropped = X.segment_sum(drop.astype(np.int64), bounds).astype(np.int32)
-            total = np.where(null_text, 0, size).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(total), pa.array(dropped)], names=[*[n for x, n in enumerate(part.schema.names) if x != at_drop], "n_lines", "n_dropped"])
-    Index._held = {}  # read again by the next task, rather than kept while other stages run
-
-
-def _parts(batch: pa.RecordBatch, at_text: int) -> Iterator[tuple[int, int, pa.RecordBatch]]:
-    _, offsets = X.strings(batch.column(at_text))
-    for i, j in X.pieces(offsets):
-        yield i, j, batch.slice(i, j - i)
-
-
-def _to_drop(batches: Iterator[pa.RecordBatch], index: Index, min_docs: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        h, ids = b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy()
-        docs, owners = index.probe(h)
-        m = (docs >= min_docs) & (owners != ids)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[m]), pa.array(h[m].view(np.int64))], names=["doc_id", "h"])
-
-
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, shard_lines: int = SHARD_LINES, resident_bytes: int = RESIDENT_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, shard_lines: int = SHARD_LINES) -> DataFrame:
     """docs, all columns, with text rewritten and two more columns, n_lines and n_dropped (int).
 
     A line that min_docs rows or more have stays only where the doc_id is the
     least of theirs, there as often as it was; elsewhere it goes, with the
-    newline that set it off. Lines are compared byte for byte; blank lines never
-    go. A document that loses all lines has an empty text. Rows with a null
-    doc_id are neither counted nor changed. A null text stays null and has 0
-    lines; an empty one has 1. Rows that repeat a doc_id count each, and keep or
-    lose the same lines. An empty table gives an empty one.
+    newline that set it off. Lines are compared byte for byte, by 128-bit
+    digests; blank lines never go. A document that loses all lines has an empty
+    text. Rows with a null doc_id are neither counted nor changed. A null text
+    stays null and has 0 lines; an empty one has 1. Rows that repeat a doc_id
+    count each, and keep or lose the same lines. A very long text is handled
+    whole, in one task. An empty table gives an empty one.
     """
     pos, names = positional(docs)
     key, text = column(names, "doc_id"), column(names, "text")
     at_id, at_text = pos.columns.index(key), pos.columns.index(text)
-    slim = pos.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    index, size = build_index(slim, shard_lines)
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in pos.schema]
-    out = ", ".join([*fields, "n_lines int", "n_dropped int"])
-    if size <= resident_bytes:
-        done = pos.mapInArrow(lambda it: X.tidy(_rewrite(it, at_id, at_text, None, index, min_docs)), out)
-    else:
-        shards = index.shards
-        probes = slim.mapInArrow(_hashes, "h bigint, doc_id bigint").select("h", "doc_id")
-        routed = probes.mapInArrow(lambda it: _route(it, shards), "shard int, h bigint, doc_id bigint").repartition("shard", (F.col("doc_id") % 8))
-        drops = routed.mapInArrow(lambda it: _to_drop(it, index, min_docs), "doc_id bigint, h bigint").groupBy("doc_id").agg(F.collect_set("h").alias("_drop"))
-        joined = pos.join(drops.withColumnRenamed("doc_id", "_id"), F.col(key).cast("bigint") == F.col("_id"), "left").select(*pos.columns, "_drop")
-        at_drop = len(names)
-        done = joined.mapInArrow(lambda it: _rewrite(it, at_id, at_text, at_drop, None, min_docs), out)
-    return done.toDF(*names, "n_lines", "n_dropped")
-
-
-def _route(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(shard_of(b.column(0).to_numpy().view(np.uint64), shards).astype(np.int32)), *b.columns], names=["shard", "h", "doc_id"])
+    rows = numbered(pos)
+    slim = rows.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col("_batch").alias("batch")).where("doc_id is not null and text is not null")
+    found = repeated_lines(slim, min_docs, shard_lines)
+    out = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in pos.schema], "n_lines int", "n_dropped int"])
+    return rows.mapInArrow(lambda it: X.tidy(_rewrite(it, at_id, at_text, found)), out).toDF(*names, "n_lines", "n_dropped")
 
 
 def strip_repeated_lines(docs: DataFrame, **params) -> DataFrame:

@@ -37,11 +37,12 @@ def oracle_sql() -> dict[str, str]:
     }
 
 
-#: A line that six documents or more have stays in the one with the least doc_id.
-LINE_DEDUP = f"""with l as (select doc_id, text, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as place from documents where doc_id is not null and text is not null),
-n as (select line, count(*) as docs, min(doc_id) as owner from (select distinct doc_id, line from l) where regexp_matches(line, '[^ \\t\\r\\x0b\\f]') group by line),
+#: A line that six documents or more have stays in the one with the least doc_id; rows that repeat a doc_id count each.
+LINE_DEDUP = f"""with d as (select row_number() over () as rid, doc_id, text from documents),
+l as (select rid, doc_id, text, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as place from d where doc_id is not null and text is not null),
+n as (select line, count(*) as docs, min(doc_id) as owner from (select distinct rid, doc_id, line from l) where regexp_matches(line, '[^ \\t\\r\\x0b\\f]') group by line),
 j as (select l.*, coalesce(n.docs >= {line_dedup.MIN_DOCS} and n.owner <> l.doc_id, false) as dropped from l left join n using (line))
-select doc_id, coalesce(string_agg(line, chr(10) order by place) filter (not dropped), '') as text, count(*)::int as n_lines, sum(dropped::int)::int as n_dropped from j group by doc_id
+select any_value(doc_id) as doc_id, coalesce(string_agg(line, chr(10) order by place) filter (not dropped), '') as text, count(*)::int as n_lines, sum(dropped::int)::int as n_dropped from j group by rid
 union all select doc_id, text, case when text is null then 0 else len(string_split(text, chr(10))) end::int, 0 from documents where doc_id is null or text is null"""
 
 #: Distances of all pairs; rounded, as engines add up in different orders.

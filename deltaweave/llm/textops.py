@@ -14,11 +14,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-_P, _MASK = 0x9E3779B97F4A7C55, (1 << 64) - 1
-_rng = np.random.Generator(np.random.PCG64(20240607))
-BYTE_CODES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
-BYTE_CODES.setflags(write=False)
-_powers = {}
+_MASK = (1 << 64) - 1
+#: Modulus and bases of the two polynomials that hash a span.
+PRIME = (1 << 31) - 1
+BASES = (1_220_703_133, 1_815_976_681)
+#: Bytes whose products with powers add up to less than 2**64.
+_SAFE = 1 << 22
+_powers: dict[tuple[int, int], np.ndarray] = {}
 
 
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -51,17 +53,20 @@ def seed_of(*parts: int) -> np.uint64:
     return h[0]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i modulo 2**64, for i below n at least."""
-    have = _powers.get("n", 0)
-    if have < n:
-        size = max(n, 1 << 20)
-        for key, base in (("up", _P), ("down", pow(_P, -1, 1 << 64))):
-            x = np.full(size, base, dtype=np.uint64)
-            x[0] = 1
-            _powers[key] = np.cumprod(x, dtype=np.uint64)
-        _powers["n"] = size
-    return _powers["up"], _powers["down"]
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME."""
+    x = (x & U64(PRIME)) + (x >> U64(31))
+    x = (x & U64(PRIME)) + (x >> U64(31))
+    return np.where(x >= PRIME, x - U64(PRIME), x)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**i modulo PRIME, for i below n at least."""
+    have = _powers.get((base, 0), np.ones(1, dtype=np.uint64))
+    while len(have) < n or len(have) < 1 << 20:
+        have = np.append(have, _reduced(have * U64(pow(base, len(have), PRIME))))
+        _powers[base, 0] = have
+    return have
 
 
 def strings(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,21 +105,34 @@ def pieces(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int
         i = j
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Cumulative sums from which span_hash gives the hash of any span."""
-    up, _ = powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
-    x = np.take(BYTE_CODES, data)
-    x *= up[: len(data)]
-    np.cumsum(x, out=out[1:])
-    return out
-
-
-def span_hash(cum: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], the same wherever the span lies."""
-    _, down = powers(len(cum))
-    h = (cum[ends] - cum[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
+def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Cumulative sums, one for each of BASES, from which span_hash gives the hash of any span."""
+    out, codes = [], data.astype(np.uint64) + U64(1)
+    for base in BASES:
+        cum = np.zeros(len(data) + 1, dtype=np.uint64)
+        x = codes * powers(base, len(data) + 1)[: len(data)]
+        for i in range(0, len(data), _SAFE):
+            np.cumsum(x[i : i + _SAFE], out=cum[i + 1 : i + _SAFE + 1])
+            cum[i + 1 : i + _SAFE + 1] += cum[i]
+            if len(data) > _SAFE:
+                cum[i + 1 : i + _SAFE + 1] = _reduced(cum[i + 1 : i + _SAFE + 1])
+        out.append(cum)
+    return tuple(out)
+
+
+def span_hash(cum: tuple[np.ndarray, ...], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end], the same wherever the span lies.
+
+    Two polynomials modulo a prime: two different spans of n bytes share both
+    values for (n / 2**31)**2 of all pairs of bases at most, whatever the texts'
+    structure. What must not take one text for another compares more than this.
+    """
+    h = (ends - starts).astype(np.uint64) * U64(0xD6E8FEB86659FD93)
+    for base, c in zip(BASES, cum, strict=True):
+        down = powers(pow(base, -1, PRIME), len(c))
+        x = _reduced(c[ends] + U64(PRIME << 32) - c[starts]) if len(c) <= _SAFE + 1 else _reduced(c[ends] + U64(PRIME) - c[starts])
+        h = mix((h << U64(31) | h >> U64(33)) + _reduced(x * down[starts]))
+    return h
 
 
 def byte_table(f) -> np.ndarray:
