@@ -161,6 +161,28 @@ def _replace(data: np.ndarray, offsets: np.ndarray, chars: CharsMap) -> tuple[np
     return np.concatenate(parts), np.concatenate(begins), np.concatenate(ends), off
 
 
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each of the distinct spans, and for each span the number of its like; spans follow one another without gaps.
+
+    Hashes bring like spans together, and bytes are compared.
+    """
+    _, first, inverse = np.unique(X.span_hash(X.prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
+    size = ends - starts
+    like = first[inverse]
+    if len(starts) and (size == size[like]).all():
+        at = np.arange(starts[0], ends[-1])
+        if np.array_equal(data[at], data[at + np.repeat(starts[like] - starts, size)]):
+            return first, inverse
+    known: dict[bytes, int] = {}
+    raw, heads = data.tobytes(), []
+    inverse = np.empty(len(starts), np.int64)
+    for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        k = inverse[i] = known.setdefault(raw[a:b], len(known))
+        if k == len(heads):
+            heads.append(i)
+    return np.array(heads, dtype=np.int64), inverse
+
+
 class Model:
     """A model file, its normaliser and the words whose pieces are known."""
 
@@ -200,10 +222,10 @@ class Model:
         return cls._held[path, charsmap]
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.ids, self.ends, self.bounds = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(REMEMBER + 2, np.int64)
 
-    def _learn(self, hashes: list[int], words: list[bytes]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         got = self.sp.encode([w.decode("utf-8", "replace") for w in words], num_threads=1)
         k = len(self.known)
         if k + len(words) + 1 > len(self.bounds):
@@ -225,7 +247,7 @@ class Model:
         total = np.concatenate(([0], np.cumsum(size)))
         self.ids[at:need] = flat
         self.ends[at:need] = total[1:] - np.repeat(total[bounds[:-1]], sizes)
-        self.known.update(zip(hashes, range(k, k + len(hashes)), strict=True))
+        self.known.update(zip(words, range(k, k + len(words)), strict=True))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Pieces of all texts with begins and ends in the source (from each text's start), the bounds of each text; the normalised bytes and offsets."""
@@ -243,16 +265,14 @@ class Model:
             cut[len(norm)] = False
             starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(norm)) if len(starts) else starts
-        h = X.span_hash(X.prefix_hash(norm), starts, ends)
-        uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) + len(uniq) > REMEMBER:
+        first, inverse = distinct(norm, starts, ends)
+        if len(self.known) + len(first) > REMEMBER:
             self.forget()
         raw = norm.tobytes()
-        keys = uniq.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
-            self._learn([keys[i] for i in new], [raw[starts[first[i]] : ends[first[i]]] for i in new])
-        word = np.array([self.known[k] for k in keys], dtype=np.int64)[inverse]
+        words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        if new := [w for w in words if w not in self.known]:
+            self._learn(new)
+        word = np.array([self.known[w] for w in words], dtype=np.int64)[inverse]
         size = self.bounds[word + 1] - self.bounds[word]
         total = np.concatenate(([0], np.cumsum(size)))
         take = np.arange(total[-1]) + np.repeat(self.bounds[word] - total[:-1], size)
@@ -317,7 +337,8 @@ def encode(docs: DataFrame, model: str = MODEL, charsmap: bytes | None = None) -
     Piece i covers the bytes begins[i] to ends[i] of the text's UTF-8; the mark
     that the model sets before a text covers none. round_trip says that decoding
     the ids gives the normalised text. An empty text has empty lists, a null
-    text has nulls; doc_id may be null or repeat, as each row stands alone.
+    text has nulls; doc_id may be null or repeat, as each row stands alone. A
+    very long text is encoded whole. An empty table gives an empty one.
     charsmap takes another compiled character map than the model's.
     """
     pos, names = positional(docs)
@@ -337,7 +358,10 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """(doc_id, text): the texts of (doc_id, ids) rows; null for null ids. ids must be pieces of the model."""
+    """(doc_id, text): the texts of (doc_id, ids) rows; null for null ids. ids must be pieces of the model.
+
+    Empty ids give an empty text; doc_id may be null or repeat. An empty table gives an empty one.
+    """
     pos, names = positional(encoded)
     src = pos.select(F.col(column(names, "doc_id")).cast("bigint").alias("doc_id"), F.col(column(names, "ids")).cast("array<int>").alias("ids"))
     return src.mapInArrow(lambda it: _decode(it, model), "doc_id bigint, text string")

@@ -96,3 +96,22 @@ def test_tables(spark, data, lib):
     odd = spark.createDataFrame([(1, None), (2, ""), (None, "a")], "doc_id bigint, text string")
     got = {r.doc_id: r for r in S.encode(odd).collect()}
     assert got[1].ids is None and got[2].ids == [] and len(got[None].ids) == 1
+
+
+def test_structured_words_keep_their_ids(lib, monkeypatch):
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    texts = [a, a.translate({97: "b", 98: "a"}), "word " + a]
+
+    def check():
+        m, data, off, (ids, b, e, bounds, *_) = encode(texts)
+        assert [ids[x:y].tolist() for x, y in zip(bounds[:-1], bounds[1:])] == [lib.encode(t) for t in texts]
+
+    check()
+    S.Model._held = {}
+    monkeypatch.setattr(X, "span_hash", lambda cum, a, b: np.zeros(len(a), np.uint64))  # bytes tell words apart whatever the hash says
+    check()
+
+
+def test_no_rows_to_decode(spark):
+    assert S.decode(spark.createDataFrame([], "doc_id bigint, ids array<int>")).count() == 0
+    assert [tuple(r) for r in S.decode(spark.createDataFrame([(None, []), (1, None)], "doc_id bigint, ids array<int>")).collect()] == [(None, ""), (1, None)]
