@@ -66,31 +66,69 @@ def test_planted_passages_are_found_and_nothing_else(spark):
         assert k <= r.begin and r.end <= k + len(p) + 2 and want[r.first_doc_id][0] == p and r.first_doc_id < r.doc_id
 
 
-def test_equals_brute_force_over_chunks(spark, data):
-    df = spark.read.parquet(f"{data}/documents.parquet")
-    docs = sorted((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
-    first, cuts = {}, {}
-    for d, t in docs:
+def count_words(raw):
+    return len(raw.replace(b"\x0b", b" ").replace(b"\x0c", b" ").split())
+
+
+def brute(docs, least=S.LEAST_WORDS):
+    """{(doc_id, begin, end, n_words, first_doc_id)}: windows looked up as bytes."""
+    first, wins = {}, {}
+    for d, t in sorted(docs):
         raw, o = X.strings(pa.array([t]))
         a, b, _ = S.chunks(raw, o)
-        cuts[d] = [(int(x), int(y), raw[x:y].tobytes()) for x, y in zip(a, b)]
-        for x in cuts[d]:
-            first.setdefault(x[2], d)
-    want, t_ = set(), {d: t.encode() for d, t in docs}
-    for d, _ in docs:
+        begins = [i for i in range(len(raw)) if raw[i] not in b" \t\n\r\x0b\x0c" and (i == 0 or raw[i - 1] in b" \t\n\r\x0b\x0c")]
+        wins[d] = []
+        for i, x in enumerate(a.tolist()):
+            y = next((y for y in b[i:].tolist() if sum(x <= w < y for w in begins) >= least), None)
+            if y is not None:
+                wins[d].append((x, y, raw[x:y].tobytes()))
+                first.setdefault(raw[x:y].tobytes(), d)
+        wins[d] = wins[d], begins
+    out = set()
+    for d, (ws, begins) in wins.items():
         run = []
-        for x in [*cuts[d], None]:
-            if x is not None and first[x[2]] != d:
-                run.append(x)
-                continue
-            words = [i for i in range(run[0][0], run[-1][1]) if t_[d][i : i + 1].strip(b" \t\n\r\x0b\x0c") and (i == 0 or not t_[d][i - 1 : i].strip(b" \t\n\r\x0b\x0c"))] if run else []
-            if len(words) >= S.LEAST_WORDS:
-                size = {}
+        for x in [*[w for w in ws if first[w[2]] != d], None]:
+            if run and (x is None or x[0] > run[-1][1]):
+                times = {}
                 for y in run:
-                    size[first[y[2]]] = size.get(first[y[2]], 0) + y[1] - y[0]
-                want.add((d, run[0][0], run[-1][1], len(words), min(size, key=lambda k: (-size[k], k))))
-            run = []
-    assert {tuple(r) for r in S.repeated_passages(df).collect()} == want and want
+                    times[first[y[2]]] = times.get(first[y[2]], 0) + 1
+                a, b = run[0][0], run[-1][1]
+                out.add((d, a, b, sum(a <= w < b for w in begins), min(times, key=lambda k: (-times[k], k))))
+                run = []
+            if x is not None:
+                run.append(x)
+    return out
+
+
+def test_equals_brute_force(spark, data):
+    df = spark.read.parquet(f"{data}/documents.parquet")
+    docs = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect() if len(r.text) < 20_000]
+    got = {tuple(r) for r in S.repeated_passages(df.where("length(text) < 20000")).collect()}
+    assert got == brute(docs) and got
+
+
+def test_a_passage_stands_whole_in_one_earlier_document(spark):
+    """Pieces of many documents side by side are no passage, whatever their number."""
+    rng = random.Random(7)
+    texts = [prose(rng, 60) for _ in range(300)]
+    words = [t.split(" ") for t in texts]
+    part = lambda k: rng.choice(words)[k : k + 9]
+    mixed = [" ".join(w for _ in range(25) for w in part(rng.randint(0, 50))) for _ in range(50)]
+    docs = list(enumerate(texts + mixed))
+    assert S.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).count() == 0
+
+
+def test_repeated_rows_and_empty_tables(spark):
+    rng = random.Random(6)
+    p = prose(rng, 60)
+    rows = [(1, p), (1, p), (2, p), (2, p), (3, ""), (None, p), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = S.repeated_passages(df).collect()
+    assert [r.doc_id for r in got] == [2] and got[0].first_doc_id == 1
+    cut = sorted((str(r.doc_id), r.text) for r in S.without_repeats(df).collect() if r.text is not None)
+    assert cut[0][1] == cut[1][1] == p and cut[2][1] == cut[3][1] != p and cut[4] == ("3", "") and cut[5] == ("None", p)
+    none = df.limit(0)
+    assert S.repeated_passages(none).count() == S.without_repeats(none).count() == 0
 
 
 def test_cutting(spark):
