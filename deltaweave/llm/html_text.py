@@ -41,15 +41,15 @@ LABELLED = [
     (40, 0, 2, 0, 60, 0, 1), (60, 0, 1, 0, 30, 0, 1), (90, 0, 5, 0, 9, 0, 1), (8, 0, 3, 0, 40, 0, 1), (3, 0, 2, 0, 4, 0, 1), (35, 0, 9, 0, 2, 0, 1), (2, 0, 1, 0, 80, 0, 1), (100, 0, 12, 0.1, 100, 0, 1), (5, 0, 4, 0, 10, 0, 1), (20, 0, 14, 0, 11, 0, 1), (12, 0, 1, 0, 9, 0, 1), (1, 0, 8, 0, 12, 0, 1), (7, 0, 12, 0, 15, 0, 1), (10, 0, 6, 0, 1, 0, 1),
 ]
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>", re.S)
-#: What isn't shown. Only script, style and textarea reach to the end of the page if nothing closes them; a head ends at the first element that
+_TOKEN = re.compile(r"<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>", re.S)
+#: What isn't shown: comments first, as they may hold tags; one that nothing closes ends with its tag. Only script, style and textarea reach to the end of the page if nothing closes them; a head ends at the first element that
 #: can't stand in one, and of other unclosed elements only the tag goes. A self-closed svg is empty.
 _ATTRIBUTES = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*"
 _SKIP = re.compile(
-    rf"(?is)<svg\b{_ATTRIBUTES}/>"
-    rf"|<(script|style|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    rf"|<head\b[^>]*>(?:<!--.*?-->|<(script|style|noscript|template|title)\b[^>]*>.*?</\2\s*>|<(?:meta|link|base|basefont|bgsound)\b[^>]*>|[^<]|<(?=[^A-Za-z/!]))*(?:</head\s*>)?"
-    rf"|<(noscript|template|svg|select|iframe)\b[^>]*>.*?</\3\s*>"
+    rf"(?is)(?P<comment><!--(?:-?>|.*?--!?>|[^>]*>?))|<svg\b{_ATTRIBUTES}/>"
+    rf"|<(?P<raw>script|style|textarea)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<head\b[^>]*>(?:<!--.*?-->|<(?P<inner>script|style|noscript|template|title)\b[^>]*>.*?</(?P=inner)\s*>|<(?:meta|link|base|basefont|bgsound)\b[^>]*>|[^<]|<(?=[^A-Za-z/!]))*(?:</head\s*>)?"
+    rf"|<(?P<pair>noscript|template|svg|select|iframe)\b[^>]*>.*?</(?P=pair)\s*>"
 )
 _PAIRED = re.compile(r"(?i)<(/?)(noscript|template|svg|select|iframe)\b")
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
@@ -116,7 +116,7 @@ def _unpaired(page: str) -> str:
 
 def blocks(page: str) -> list[tuple[str, int, int]]:
     """(text, words, words in links) of each block, in order."""
-    page = _SKIP.sub(" <p> ", _unpaired(page)) if "<" in page else page
+    page = _SKIP.sub(lambda m: "" if m["comment"] else " <p> ", _unpaired(page)) if "<" in page else page
     out: list[tuple[str, int, int]] = []
     text: list[str] = []
     link, linked, at = False, 0, 0
@@ -184,7 +184,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_blocks, n_content int) for each row of pages: its content blocks, one a line.
 
     A null page gives a null text and no blocks, an empty one an empty text;
-    text without tags is one block. Ids and addresses are passed on as they are,
+    text without tags is one block, a very long page is handled whole. Ids and addresses are passed on as they are,
     null or repeated. An empty table gives an empty one.
     """
     pos, names = positional(pages)

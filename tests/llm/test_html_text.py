@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -53,3 +54,52 @@ def test_unclosed_elements_hide_no_paragraph():
     for tag in ("script", "style", "textarea"):
         assert H.blocks(f"<p>{body}<{tag}>rest <p>more") == want
     assert len(H.blocks("<svg><select>" * 50_000 + f"<p>{body}")) == 1
+
+
+def test_comments_hide_themselves_only():
+    body = "word " * 30
+    want = [(body.strip(), 30, 0)]
+    for start in ("<!-- <script> -->", "<!-- <style>p {} -->", "<!-- <svg> --><!-- <head> -->", "<!-- <noscript> -->", "<!-->", "<!--->", "<!-- open <b>", "<!-- a --!>"):
+        assert H.blocks(f"{start}<p>{body}") == want, start
+    assert H.blocks(f"<script>var a = '<!--';</script><p>{body}<!-- <p>no -->") == want
+    assert H.blocks("<textarea><!-- </textarea>" + f"<p>{body}") == want
+
+
+def brute_blocks(tokens):
+    """Blocks of a page given as a list of ("text", s), ("open", tag), ("close", tag), by the definition."""
+    out, words, linked, link = [], [], 0, False
+    for kind, x in [*tokens, ("open", "p")]:
+        if kind == "text":
+            words += x.split()
+            linked += len(x.split()) * link
+        elif x == "a":
+            link = kind == "open"
+        elif x not in ("b", "i", "span"):
+            if words:
+                out.append((" ".join(words), len(words), linked))
+            words, linked = [], 0
+    return out
+
+
+def test_pages_equal_brute_force(spark):
+    """Whole extraction: blocks, neighbours' features and a walk down the tree, a page at a time."""
+    rng = random.Random(4)
+    tree, pages, want = H.tree(), [], []
+    for i in range(150):
+        tokens = []
+        for _ in range(rng.randint(0, 40)):
+            kind = rng.choice(["text", "text", "open", "close"])
+            tokens.append((kind, " " + " ".join(rng.choice(["alpha", "b1", "gamma", "x"]) for _ in range(rng.choice([1, 3, 30]))) + " ") if kind == "text" else (kind, rng.choice(["a", "b", "p", "div", "li", "span"])))
+        pages.append((i, "u", "".join(x if k == "text" else f"<{'/' * (k == 'close')}{x}>" for k, x in tokens)))
+        blocks = brute_blocks(tokens)
+        kept = []
+        for j, (text, n, linked) in enumerate(blocks):
+            f = lambda k: (blocks[k][1], blocks[k][2] / blocks[k][1]) if 0 <= k < len(blocks) else (0, 0)
+            x, node = [*f(j - 1), *f(j), *f(j + 1)], tree.nodes[0]
+            while len(node) > 1:
+                node = tree.nodes[node[2] if x[node[0]] <= node[1] else node[3]]
+            if node[0] > 0.5:
+                kept.append(text)
+        want.append((i, "u", "\n".join(kept), len(blocks), len(kept)))
+    got = sorted(tuple(r) for r in H.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect())
+    assert got == want
