@@ -1,13 +1,16 @@
 """Secrets behind layers of encoding.
 
 A worklist starts with the text itself. Every layer is scanned by the rules,
-and each decoder that finds something to unwrap in it (URL escapes, Unicode
-escapes, base64 of either alphabet and over line ends, and gzip or zlib
-streams and UTF-16 within these) adds the text with those parts unwrapped;
-bytes that aren't UTF-8 text are carried as a character each. Layers that were seen before, by digest, aren't
-added again, so the work ends at a fixpoint whatever the texts decode to. For
-each character a layer records which characters of the original text it came
-from, and findings are given in those.
+and what its decoders find to unwrap in it (URL escapes, Unicode escapes,
+base64 of either alphabet and over line ends, and gzip or zlib streams and
+UTF-16 within these) gives a new layer, the text with those parts unwrapped;
+bytes that aren't UTF-8 text are carried as a character each. Parts that stand
+apart are unwrapped together, so that nested ones side by side add their depths
+instead of multiplying them; where parts of two decoders overlap or touch, each
+decoder gets a layer of its own as well. Layers that were seen before, by
+digest, aren't added again, so the work ends at a fixpoint whatever the texts
+decode to. For each character a layer records which characters of the original
+text it came from and through which decoders, and findings are given in those.
 """
 
 from __future__ import annotations
@@ -49,8 +52,10 @@ ENTROPY = 2.8
 MAX_STREAM = 64 << 20
 PIECE, OVERLAP = 4 << 20, 1 << 18
 
-_URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+#: Escapes; one whose own escape character is escaped, however often, is one.
+_URL_ONE = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
+_URL = re.compile(rf"(?:{_URL_ONE.pattern})+")
+_UNICODE = re.compile(r"\\(?:u005[cC]|x5[cC])*(?:u\{([0-9A-Fa-f]{1,6})\}|u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _URL_TOKEN = re.compile(r"%[0-9A-Fa-f]{2}(?:%[0-9A-Fa-f]{2}|[!-$&-~])*")
 _URL_CHAR = re.compile(r"%[0-9A-Fa-f]{2}|.", re.S)
 _ESCAPE = re.compile(_UNICODE.pattern + r"|\\([0-7]{1,3}|[^\sxu0-7])")
@@ -68,6 +73,9 @@ STEP = 1 << 14
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*(?:\\r)?(?:\\n|\r?\n)[ \t]*[A-Za-z0-9+/_-]+)*={0,2}")
 _BEFORE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{1,15}[ \t]*(?:\\r)?(?:\\n|\r?\n)[ \t]*\Z")
 _BREAK = re.compile(r"\\[rn]|[ \t\r\n=]")
+_SPACE = re.compile(r"\s")
+#: Parts of two decoders so near to each other may belong together, even over white space.
+NEAR = 16
 #: What decoded bytes that aren't text must have: so many printable characters as the shortest secret.
 _WORTH = re.compile(rb"[\t\r\n -~]{15}")
 
@@ -129,20 +137,26 @@ def characters(raw: bytes) -> str:
 
 
 class Layer:
-    """A text, how it was unwrapped, and the original place of each character; None while it is the original."""
+    """A text and, unless it is the original, for each character its place in the original and the number of its path in a list of paths."""
 
-    def __init__(self, text: str, path: tuple[str, ...] = (), begin: np.ndarray | None = None, end: np.ndarray | None = None):
-        self.text, self.path, self.begin, self.end = text, path, begin, end
+    def __init__(self, text: str, begin: np.ndarray | None = None, end: np.ndarray | None = None, via: np.ndarray | None = None):
+        self.text, self.begin, self.end, self.via = text, begin, end, via
 
     def span(self, a: int, b: int) -> tuple[int, int]:
         return (a, b) if self.begin is None else (int(self.begin[a:b].min()), int(self.end[a:b].max()))
 
-    def unwrapped(self, name: tuple[str, ...], parts: list[tuple[int, int, str, np.ndarray | list[int] | None, np.ndarray | list[int] | None]]) -> Layer:
-        """The layer with text[a:b] replaced for each part (a, b, new, begins, ends), whose lists are relative to a; None: the whole of a to b."""
-        begin = np.arange(len(self.text)) if self.begin is None else self.begin
-        end = np.arange(1, len(self.text) + 1) if self.end is None else self.end
-        out, bs, es, at = [], [], [], 0
-        for a, b, new, x, y in parts:
+    def path(self, a: int, b: int, paths: list[tuple[str, ...]]) -> tuple[str, ...]:
+        """The longest path of the characters from a to b."""
+        return paths[0] if self.via is None else max((paths[i] for i in np.unique(self.via[a:b]).tolist()), key=len)
+
+    def unwrapped(self, parts: list[tuple], paths: list[tuple[str, ...]], known: dict[tuple[str, ...], int]) -> Layer:
+        """The layer with text[a:b] replaced for each part (a, b, new, begins, ends, name), whose lists are relative to a; None: the whole of a to b."""
+        n = len(self.text)
+        begin = np.arange(n) if self.begin is None else self.begin
+        end = np.arange(1, n + 1) if self.end is None else self.end
+        via = np.zeros(n, np.int32) if self.via is None else self.via
+        out, bs, es, vs, at = [], [], [], [], 0
+        for a, b, new, x, y, name in parts:
             out += [self.text[at:a], new]
             bs.append(begin[at:a])
             es.append(end[at:a])
@@ -153,11 +167,14 @@ class Layer:
             else:
                 bs.append(begin[np.array(x, dtype=np.int64) + a])
                 es.append(end[np.array(y, dtype=np.int64) + a - 1])
+            path = (*self.path(a, b, paths), *name)
+            if path not in known:
+                known[path] = len(paths)
+                paths.append(path)
+            vs += [via[at:a], np.full(len(new), known[path], np.int32)]
             at = b
         out.append(self.text[at:])
-        bs.append(begin[at:])
-        es.append(end[at:])
-        return Layer("".join(out), (*self.path, *name), np.concatenate(bs), np.concatenate(es))
+        return Layer("".join(out), *[np.concatenate([*z, w[at:]]) for z, w in ((bs, begin), (es, end), (vs, via))])
 
 
 def _chars(s: str, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,12 +187,13 @@ def _url(text: str):
     if "%" not in text:
         return
     for m in _URL.finditer(text):
-        raw = bytes.fromhex(m[0].replace("%", ""))
+        ones = list(_URL_ONE.finditer(m[0]))
+        raw = bytes.fromhex("".join(x[1] for x in ones))
         try:
             s = raw.decode("utf-8")
         except UnicodeDecodeError:
             continue
-        yield m.start(), m.end(), s, *_chars(s, at := 3 * np.arange(len(raw)), at + 3)
+        yield m.start(), m.end(), s, *_chars(s, *(np.array([f(x) for x in ones]) for f in (re.Match.start, re.Match.end)))
 
 
 def _url_bytes(text: str, plus: bool):
@@ -364,6 +382,27 @@ DECODERS = [
 ]
 
 
+def _near(text: str, a: int, b: int) -> bool:
+    """Whether no white space parts a from b, or hardly anything does."""
+    return b - a <= NEAR or not _SPACE.search(text, a, b)
+
+
+def _layers(text: str, found: list[list[tuple]]) -> Iterator[list[tuple]]:
+    """What to unwrap together, from each decoder's parts: all that stand apart; and one decoder's where they don't."""
+    order = sorted((a, b, k, i) for k, parts in enumerate(found) for i, (a, b, *_) in enumerate(parts))
+    taken, alone, end, last = [], set(), 0, None
+    for a, b, k, i in order:
+        if last is not None and k != last and _near(text, end, a):
+            alone |= {k, last}
+        if a >= end or last is None:
+            taken.append(found[k][i])
+        if b > end or last is None:
+            end, last = b, k
+    yield taken
+    for k in sorted(alone):
+        yield found[k]
+
+
 def scan(text: str, path: tuple[str, ...] = ()) -> list[tuple[str, str, int, int, str]]:
     """(rule, path of layers, begin, end, secret), each place and rule once, by the outermost layer that shows it.
 
@@ -371,7 +410,9 @@ def scan(text: str, path: tuple[str, ...] = ()) -> list[tuple[str, str, int, int
     """
     found: dict[tuple[str, int, int], tuple[str, str]] = {}
     several: dict[tuple[str, int, int, str], str] = {}
-    work, seen, large = deque([Layer(text, path)]), set(), set()
+    paths, known = [path], {path: 0}
+    work, seen, large = deque([Layer(text)]), set(), set()
+    named = lambda p: ">".join(p) or "text"
     while work:
         layer = work.popleft()
         low = layer.text.lower()
@@ -382,32 +423,35 @@ def scan(text: str, path: tuple[str, ...] = ()) -> list[tuple[str, str, int, int
                 secret = m[m.lastindex]
                 if rule == "assigned_secret" and entropy(secret) < ENTROPY:
                     continue
-                a, b = layer.span(m.start(m.lastindex), m.end(m.lastindex))
-                found.setdefault((rule, a, b), (">".join(layer.path) or "text", secret))
+                at = m.span(m.lastindex)
+                found.setdefault((rule, *layer.span(*at)), (named(layer.path(*at, paths)), secret))
+        by_decoder = []
         for name, decoder in DECODERS:
-            parts = list(decoder(layer.text))
+            parts = [(*x, name) for x in decoder(layer.text)]
             for i, (a, b, new, *_) in enumerate(parts):
                 if isinstance(new, Large):
-                    span = layer.span(a, b)
-                    found.setdefault(("oversized_stream", *span), (">".join(layer.path) or "text", ""))
+                    span, via = layer.span(a, b), layer.path(a, b, paths)
+                    found.setdefault(("oversized_stream", *span), (named(via), ""))
                     for piece in new.pieces():
                         digest = hashlib.sha256(piece).digest()
                         if digest in large:
                             continue
                         large.add(digest)
-                        for rule, path, _, _, secret in scan(characters(piece), layer.path):
-                            several[rule, *span, secret] = path
-                    parts[i] = (a, b, " ", None, None)
+                        for rule, inner, _, _, secret in scan(characters(piece), via):
+                            several[rule, *span, secret] = inner
+                    parts[i] = (a, b, " ", None, None, name)
             if parts:
-                if not seen:
-                    seen.add(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest())
-                new = layer.unwrapped(name, parts)
-                digest = hashlib.sha256(new.text.encode("utf-8", "surrogatepass")).digest()
-                if digest not in seen:
-                    seen.add(digest)
-                    work.append(new)
-                    if decoder is DECODERS[0][1]:
-                        break  # a whole stream is certain: what else the layer holds is decoded in the new one, without its bytes
+                by_decoder.append(parts)
+                if decoder is DECODERS[0][1]:
+                    break  # a whole stream is certain: what else the layer holds is decoded in the new one, without its bytes
+        if by_decoder and not seen:
+            seen.add(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest())
+        for parts in _layers(layer.text, by_decoder) if by_decoder else ():
+            new = layer.unwrapped(parts, paths, known)
+            digest = hashlib.sha256(new.text.encode("utf-8", "surrogatepass")).digest()
+            if digest not in seen:
+                seen.add(digest)
+                work.append(new)
     rows = {(rule, path, a, b, secret) for (rule, a, b), (path, secret) in found.items()} | {(rule, path, a, b, secret) for (rule, a, b, secret), path in several.items() if found.get((rule, a, b), ("", None))[1] != secret}
     return sorted(rows, key=lambda x: (x[2], x[3], x[0], x[4]))
 
@@ -426,7 +470,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     begin and end are characters of the text; layers names the decoders down to
     the layer that shows the secret, or says text. Null and empty texts have no
     findings; a null doc_id stays null and repeated rows give repeated findings.
-    An empty table gives an empty one.
+    A very long text is scanned whole. An empty table gives an empty one.
     """
     src = pick(docs, doc_id="bigint", text="string")
     return src.mapInArrow(_scan, "doc_id bigint, rule string, layers string, begin int, end int, secret_sha256 string")

@@ -129,3 +129,61 @@ def test_oversized_streams_hide_nothing(monkeypatch):
         assert {g[4] for g in got if g[0] == "aws_access_key" and at <= g[2] < g[3] <= at + len(big)} == {KEY, other}
         assert sum(g[4] == third for g in got) == 3 and len(got) == 6
         assert [at <= g[2] < g[3] <= at + len(big) for g in got if g[0] == "oversized_stream"] == [True]
+
+
+def test_an_undecodable_byte_hides_no_run():
+    quoted = "".join(f"%{c:02X}" for c in KEY.encode())
+    for text in ("%FF" + quoted, quoted + "%FF", "%C3%28" + quoted + "%80", f"a=%FF&b={quoted}"):
+        assert KEY in {g[4] for g in S.scan(f"see {text} end")}, text
+    mime = base64.encodebytes(gzip.compress(("pad " * 90 + KEY + " pad" * 90).encode(), mtime=0)).decode()
+    assert KEY in {g[4] for g in S.scan(f"Content-Transfer-Encoding: base64\n\n{mime}\n")}
+    bomb = b64(zlib.compress(bytes(64 << 10), 9))
+    assert {KEY} == {g[4] for g in S.scan(f"{b64('id ' + KEY + ' ende')} {bomb}") if g[0] == "aws_access_key"}
+
+
+def test_layers_side_by_side_add_up(monkeypatch):
+    """k nested URL layers beside k nested Unicode ones aren't k * k layers."""
+    count = 0
+    plain = S.Layer.unwrapped
+
+    def unwrapped(self, *args):
+        nonlocal count
+        count += 1
+        return plain(self, *args)
+
+    monkeypatch.setattr(S.Layer, "unwrapped", unwrapped)
+    deep = {k: (b64("pad pad " + KEY + " pad"), b64("pad pad pad " + KEY.replace("AKIA", "ASIA"))) for k in (2, 4, 8)}
+    for k, (x, y) in deep.items():
+        for _ in range(k):
+            x, y = url(x) if len(x) < 3000 else b64(x), b64(y)
+        count = 0
+        got = S.scan(f"first {x} some words between these two and then {y} last")
+        assert {g[4][:4] for g in got if g[0] == "aws_access_key"} == {"AKIA", "ASIA"} and count <= 8 * k + 8, (k, count)
+    text = "%" + "25" * 500 + "41 " + " and some more words " + "\\" + "u005c" * 500 + "u0041"
+    count = 0
+    S.scan(text)
+    assert count <= 3
+
+
+def test_parts_of_one_token_are_tried_apart():
+    whole = b64("pad pad " + KEY + " pad pad")
+    assert KEY in {g[4] for g in S.scan("x " + whole[:19] + url(whole[19]) + whole[20:] + " y")}
+    assert KEY in {g[4] for g in S.scan("x " + uni(whole[0]) + whole[1:9] + url(whole[9]) + whole[10:] + " y")}
+
+
+def test_equals_brute_force():
+    """Random texts of wrapped and plain keys: exactly the keys put in are found, each within its own place."""
+    rng = random.Random(21)
+    for _ in range(80):
+        text, want = "", []
+        for _ in range(rng.randint(1, 5)):
+            key = "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
+            s = f"pad {key} pad pad"
+            for n in [rng.choice(list(WRAPS)) for _ in range(rng.randint(0, 3))]:
+                s = WRAPS[n](s)
+            text += "words in between that stand apart "
+            want.append((key, len(text), len(text) + len(s)))
+            text += s + " "
+        got = [g for g in S.scan(text) if g[0] == "aws_access_key"]
+        assert [g[4] for g in got] == [k for k, *_ in want]
+        assert all(a <= g[2] < g[3] <= b for g, (_, a, b) in zip(got, want))
