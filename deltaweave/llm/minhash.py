@@ -10,8 +10,11 @@ Locality-Sensitive Hash Algorithms for the (Probability) Jaccard Similarity",
 first arrival of all registers, since nothing later can count.
 
 Equal registers in any band of `rows` make two documents candidates; they are
-verified over all registers. Groups are the connected components of verified
-pairs, and of each the document with the least doc_id stays.
+verified over all registers. A band that many unlike documents share, as
+boilerplate makes them do, is split by further registers (`_split`, and within
+a task `link`), so that no bucket is compared all with all, on one task or in
+all. Groups are the connected components of verified pairs, and of each the
+document with the least doc_id stays.
 """
 
 from __future__ import annotations
@@ -124,39 +127,96 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, m: int, bands: int, rows: i
             )
 
 
-def link(sig: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """Pairs of rows that join all rows which verified pairs connect, without comparing what is connected already."""
-    n = len(sig)
-    least = int(np.ceil(threshold * sig.shape[1] - 1e-9))
-    out, free, groups = [], np.arange(n), []
-    while len(free):
-        lead = free[0]
-        same = (sig[free] == sig[lead]).sum(axis=1) >= least
-        same[0] = True
-        groups.append(free[same])
-        out += [(int(lead), int(x)) for x in free[same][1:]]
-        free = free[~same]
-    # other members of two groups may still be alike
-    root = list(range(len(groups)))
-
-    def find(x: int) -> int:
+def _keys(sig: np.ndarray, group: int) -> np.ndarray:
+    """Hashes of the group-th three registers."""
+    h = np.full(len(sig), X.seed_of(88, group), dtype=np.uint64)
+    for x in range(3 * group, 3 * group + 3):
+        h = X.mix(h * U64(0x9FB21C651E98DF25) + sig[:, x].astype(np.uint64))
+    return h
+
+
+class _Sets:
+    """Disjoint sets of the numbers below n."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def find(self, x: int) -> int:
+        root = self.root
         while root[x] != x:
             root[x] = root[root[x]]
             x = root[x]
-        return x
+        return int(x)
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        """The set of each of the rows."""
+        r = self.root[rows]
+        while (n := self.root[r]).tolist() != r.tolist():
+            r = n
+        self.root[rows] = r
+        return r
+
 
-    if len(groups) == n:
-        return out  # each was compared with each
-    for a in range(len(groups)):
-        for b in range(a):
-            if find(a) == find(b) or len(groups[a]) == len(groups[b]) == 1:
+#: Rows that are compared all with all; more are split by further registers.
+FEW = 256
+
+
+def link(sig: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Pairs of rows that join all rows which verified pairs connect, without comparing what is connected already.
+
+    Of more rows than FEW, those are compared that agree in three more
+    registers, any of 42 triples: alike ones of a similarity of 0.5 do with a
+    probability of 0.996, unlike ones seldom. What is connected to the first
+    row of a bucket directly goes first, so that copies cost one comparison.
+    """
+    least = int(np.ceil(threshold * sig.shape[1] - 1e-9))
+    groups = sig.shape[1] // 3
+    sets, out = _Sets(len(sig)), []
+
+    def join(a: int, rows: np.ndarray) -> None:
+        for x in rows.tolist():
+            r, q = sets.find(a), sets.find(x)
+            if r != q:
+                out.append((a, x))
+                sets.root[max(r, q)] = min(r, q)
+
+    def all_pairs(rows: np.ndarray) -> None:
+        part = sig[rows]
+        for i in range(len(rows) - 1):
+            mine = sets.of(rows[i:])
+            other = np.flatnonzero(mine[1:] != mine[0])
+            if not len(other):
+                if (mine == mine[0]).all():
+                    return
                 continue
-            for x in groups[a]:
-                hit = np.flatnonzero((sig[groups[b]] == sig[x]).sum(axis=1) >= least)
-                if len(hit):
-                    out.append((int(groups[b][hit[0]]), int(x)))
-                    root[find(a)] = find(b)
-                    break
+            other = other + i + 1
+            join(int(rows[i]), rows[other[(part[other] == part[i]).sum(axis=1) >= least]])
+
+    def lead(rows: np.ndarray) -> None:
+        """Joins to the first row all that are like it."""
+        mine = sets.of(rows)
+        other = np.flatnonzero(mine != mine[0])
+        for i in range(0, len(other), 65536):
+            o = other[i : i + 65536]
+            join(int(rows[0]), rows[o[(sig[rows[o]] == sig[rows[0]]).sum(axis=1) >= least]])
+
+    def split(rows: np.ndarray, start: int) -> None:
+        if len(rows) > FEW:
+            lead(rows)
+            if (m := sets.of(rows)).min() == m.max():
+                return
+        if len(rows) <= FEW or start == groups:
+            all_pairs(rows)
+            return
+        for g in range(start, groups):
+            h = _keys(sig[rows], g)
+            order = np.argsort(h, kind="stable")
+            cut = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+            size = np.diff(np.append(cut, len(rows)))
+            for a, n in zip(cut[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+                split(np.sort(rows[order[a : a + n]]), g + 1)
+
+    split(np.arange(len(sig)), 0)
     return out
 
 
@@ -180,10 +240,9 @@ def _verify(threshold: float, m: int):
         for batch in batches:
             if not len(batch):
                 continue
-            raw, _ = X.strings(batch.column(2).cast(pa.large_binary()).view(pa.large_string()))
             keys = np.append(keys, batch.column(0).to_numpy())
             ids = np.append(ids, batch.column(1).to_numpy())
-            sig = np.concatenate([sig, raw.copy().view(np.uint32).reshape(-1, m)])
+            sig = np.concatenate([sig, _registers(batch.column(2), m)])
             last = int(np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))[-1])
             if last:
                 yield pairs(keys[:last], ids[:last], sig[:last])
@@ -195,29 +254,91 @@ def _verify(threshold: float, m: int):
 
 
 def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, doc_id) sorted by key, those whose key has two documents at least."""
-    held_key, held_id, told = None, None, False
+    """Of rows (key, old, at, doc_id) sorted by key and old, those (key, at, doc_id) whose key has two documents at least and one that isn't old."""
+    held, told = None, False
     for batch in batches:
-        key, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(key):
+        if not len(batch):
             continue
+        key, old, at, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         same = np.zeros(len(key) + 1, dtype=bool)  # same[i]: row i has the key of row i-1
         same[1:-1] = key[1:] == key[:-1]
-        same[0] = held_key is not None and key[0] == held_key
-        keep = same[:-1] | same[1:]
-        keys, out = key[keep], ids[keep]
-        if same[0] and not told:
-            keys, out = np.append(keys, held_key), np.append(out, held_id)
-        held_key, held_id, told = key[-1], ids[-1], bool(keep[-1])
-        if len(keys):
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(out)], names=["key", "doc_id"])
+        same[0] = held is not None and key[0] == held[0]
+        first = np.maximum.accumulate(np.where(same[:-1], 0, np.arange(len(key))))
+        aged = old[first]
+        if same[0]:
+            aged[: int(np.argmin(np.append(same[:-1], False)))] = held[3]
+        keep = (same[:-1] | same[1:]) & ~aged
+        cols = [key[keep], at[keep], ids[keep]]
+        if same[0] and not told and not held[3]:
+            cols = [np.append(c, h) for c, h in zip(cols, held, strict=False)]
+        held, told = (key[-1], at[-1], ids[-1], aged[-1]), bool(keep[-1])
+        if len(cols[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "at", "doc_id"])
+
 
+def _crowd(keyed: DataFrame) -> DataFrame:
+    rows = keyed.select("key", "old", "at", "doc_id").repartition("key").sortWithinPartitions("key", "old")
+    return stored(rows.mapInArrow(_crowded, "key bigint, at int, doc_id bigint"))
 
-def near_groups(docs: DataFrame, shingle: int = SHINGLE, registers: int = REGISTERS, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+
+def _registers(col: pa.Array, m: int) -> np.ndarray:
+    raw, _ = X.strings(col.cast(pa.large_binary()).view(pa.large_string()))
+    return raw.copy().view(np.uint32).reshape(-1, m)
+
+
+def _sub_keys(threshold: float, m: int):
+    """Of rows (key, at, doc_id, sig, lead, lead_sig), (key, old, at, doc_id, lead): first whether a row is like its bucket's lead, at being -1; then its keys by each further three registers."""
+    least = int(np.ceil(threshold * m - 1e-9))
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            sig = _registers(b.column(3), m)
+            old = (sig == _registers(b.column(5), m)).sum(axis=1) >= least
+            key, at = b.column(0).to_numpy(), b.column(1).to_numpy()
+            rows = [(np.full(len(b), -1, np.int32), key, np.arange(len(b)))]
+            for g in range(int(at.min()), m // 3):
+                r = np.flatnonzero(at <= g)
+                rows.append((np.full(len(r), g + 1, np.int32), X.mix(_keys(sig[r], g) ^ key[r].view(np.uint64)).view(np.int64), r))
+            for nth, k, r in rows:
+                take = pa.array(r)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(old[r]), pa.array(nth), b.column(2).take(take), b.column(4).take(take)], names=["key", "old", "at", "doc_id", "lead"])
+
+    return f
+
+
+#: Documents of a bucket that one task compares; a larger one is split by further registers first.
+HOT = 20_000
+
+
+def _split(sig: DataFrame, crowded: DataFrame, threshold: float, m: int, hot: int) -> tuple[DataFrame, DataFrame | None]:
+    """Buckets (key, doc_id), of at most hot documents unless no register is left, and the edges found on the way.
+
+    Each round compares the documents of the larger buckets with the first one
+    of theirs, then keys all by further registers; buckets of nothing but
+    documents like their first one are settled.
+    """
+    done, edges = None, None
+    both = lambda x, y: y if x is None else x.unionByName(y)
+    while True:
+        big = stored(crowded.groupBy("key").agg(F.count("*").alias("n"), F.max("at").alias("at")).where((F.col("n") > hot) & (F.col("at") < m // 3)).select("key"))
+        if big.isEmpty():
+            return both(done, crowded.select("key", "doc_id")), edges
+        done = both(done, drop_ids(crowded, "key", big).select("key", "doc_id"))
+        rows = crowded.join(big, "key").join(sig.select("doc_id", "sig"), "doc_id")
+        lead = rows.groupBy("key").agg(F.min_by(F.struct("doc_id", "sig"), "doc_id").alias("l")).select("key", F.col("l.doc_id").alias("lead"), F.col("l.sig").alias("lead_sig"))
+        keyed = stored(rows.join(lead, "key").select("key", "at", "doc_id", "sig", "lead", "lead_sig").mapInArrow(_sub_keys(threshold, m), "key bigint, old boolean, at int, doc_id bigint, lead bigint"))
+        edges = both(edges, keyed.where("at = -1 and old and lead <> doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")))
+        crowded = _crowd(keyed.where("at > 0"))
+
+
+def near_groups(docs: DataFrame, shingle: int = SHINGLE, registers: int = REGISTERS, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(doc_id of all documents with words, (doc_id, kept) of every document that isn't the least of its group); both stored.
 
     Documents with a null doc_id take no part. Texts that are null, empty or
     without a word are never alike. Rows that repeat a doc_id are one document.
+    A very long text is signed whole.
     """
     spark = docs.sparkSession
     src = pick(docs, doc_id="bigint", text="string").where("doc_id is not null and text is not null")
@@ -227,11 +348,12 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, registers: int = REGIST
     lead = sig.select("digest", "doc_id").groupBy("digest").agg(F.min("doc_id").alias("lead"))
     same = stored(sig.select("digest", "doc_id").join(lead, "digest").where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct())
     alone = drop_ids(sig.select("doc_id", "sig", "bands"), "doc_id", same.select("b"))
-    keyed = alone.select(F.explode("bands").alias("key"), "doc_id").repartition("key").sortWithinPartitions("key")
-    crowded = stored(keyed.mapInArrow(_crowded, "key bigint, doc_id bigint"))
+    crowded = _crowd(alone.select(F.explode("bands").alias("key"), F.lit(False).alias("old"), F.lit(0).alias("at"), "doc_id"))
+    crowded, found = _split(sig, crowded, threshold, registers, hot)
     held = alone.select("doc_id", "sig").join(crowded, "doc_id").select("key", "doc_id", "sig").repartition("key").sortWithinPartitions("key", "doc_id")
     near = held.mapInArrow(_verify(threshold, registers), "a bigint, b bigint").where("a <> b")
-    edges = stored(near.distinct().unionByName(same))
+    near = near.distinct().unionByName(same)
+    edges = stored(near if found is None else near.unionByName(found))
     return sig.select("doc_id"), components(spark, edges)
 
 
@@ -253,7 +375,11 @@ def near_duplicates(docs: DataFrame, **params) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, **params) -> DataFrame:
-    """docs, all columns, without the documents of which a near copy with a lesser doc_id stays."""
+    """docs, all columns, without the documents of which a near copy with a lesser doc_id stays.
+
+    Rows with a null doc_id and documents without words stay; rows that repeat
+    a doc_id stay or go together. An empty table gives an empty one.
+    """
     _, gone = near_groups(docs, **params)
     pos, names = positional(docs)
     return drop_ids(pos, column(names, "doc_id"), gone.select("doc_id")).toDF(*names)

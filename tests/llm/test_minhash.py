@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -119,3 +120,58 @@ def test_without_words_nothing_is_alike(spark):
     df = spark.createDataFrame([(1, ""), (2, ""), (3, " .,"), (4, None), (None, "a b c"), (6, "a b c"), (7, "A, b c!")], "doc_id bigint, text string")
     got = {(r.doc_id, tuple(r.copies)) for r in M.near_duplicates(df).collect()}
     assert got == {(6, (7,)), (None, ())} | {(i, ()) for i in (1, 2, 3, 4)}
+
+
+def test_a_bucket_of_unlike_signatures_takes_seconds():
+    """Documents that share boilerplate only, and a few real copies among them."""
+    rng = np.random.default_rng(0)
+    n = 50_000
+    base, sig = rng.integers(1, 1 << 31, 128).astype(np.uint32), rng.integers(1, 1 << 31, (n, 128)).astype(np.uint32)
+    m = rng.random((n, 128)) < 0.1
+    sig[m] = np.broadcast_to(base, (n, 128))[m]
+    sig[:, :3] = base[:3]
+    want = set()
+    for i in range(0, 400, 2):
+        sig[n - 1 - i] = np.where(rng.random(128) < 0.7, sig[i], sig[n - 1 - i])
+        if (sig[n - 1 - i] == sig[i]).sum() >= 64:
+            want.add((i, n - 1 - i))
+    start = time.time()
+    got = set(M.link(sig, 0.5))
+    assert time.time() - start < 30 and got <= want and len(got) >= 0.98 * len(want)
+
+
+def test_crowded_keys_across_batches():
+    rng = np.random.default_rng(2)
+    key = np.sort(rng.integers(0, 60, 200))
+    old = rng.random(200) < 0.6
+    order = np.lexsort((old, key))
+    key, old, ids = key[order], old[order], np.arange(200)
+    cols = [pa.array(key), pa.array(old), pa.array(np.zeros(200, np.int32)), pa.array(ids)]
+    t = pa.RecordBatch.from_arrays(cols, names=["key", "old", "at", "doc_id"])
+    want = {int(i) for i in ids if (key == key[i]).sum() > 1 and not old[key == key[i]].all()}
+    for size in (1, 2, 7, 200):
+        got = [x for b in M._crowded(t.slice(i, size) for i in range(0, 200, size)) for x in b.column(2).to_pylist()]
+        assert len(got) == len(set(got)) and set(got) == want, size
+
+
+def test_hot_buckets_are_split_and_lose_nothing(spark, data):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    notice = " ".join(rng.choice(words) for _ in range(40))
+    docs, n = [], 0
+    for i in range(150):
+        own = [rng.choice(words) for _ in range(60)]
+        for _ in range(rng.choice([1, 1, 3])):
+            copy = own[:]
+            copy[rng.randint(0, 59)] = "changed"
+            docs.append((n, notice + " " + " ".join(copy)))
+            n += 1
+    many = [rng.choice(words) for _ in range(150)]
+    for i in range(60):
+        copy = many[:]
+        copy[i] = "changed"
+        docs.append((n + i, " ".join(copy)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    groups = lambda **p: sorted((r.doc_id, *r.copies) for r in M.near_duplicates(df, **p).collect())
+    plain = groups()
+    assert groups(hot=8) == plain and len(plain) < len(docs) - 60
