@@ -152,13 +152,10 @@ _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 _KEYS = ["level", "g1", "g2"]
 
 
-def _d2(mean: str = "mean", inv: str = "inv") -> F.Column:
-    """Squared Mahalanobis distance of s0.. from the arrays mean and inv (upper triangle)."""
-    z = [F.col(f"s{i}") / float(UNIT) - F.col(mean)[i] for i in range(P)]
-    out = F.lit(0.0)
-    for k, (i, j) in enumerate(_PAIRS):
-        out = out + F.col(inv)[k] * z[i] * z[j] * (1.0 if i == j else 2.0)
-    return out
+def _d2(mean: str = "mean", inv: str = "inv") -> str:
+    """SQL for the squared Mahalanobis distance of s0.. from the arrays mean and inv (upper triangle)."""
+    z = [f"(s{i} / {float(UNIT)}D - {mean}[{i}])" for i in range(P)]
+    return " + ".join(f"{inv}[{k}] * {z[i]} * {z[j]} * {1.0 if i == j else 2.0}D" for k, (i, j) in enumerate(_PAIRS))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[list, dict[str, np.ndarray]]]:
@@ -251,10 +248,10 @@ _PARAMS = "level int, g1 string, g2 string, start int, n bigint, logdet double,
 
 def _step(rows: DataFrame, now: DataFrame, share: float, buckets: int) -> DataFrame:
     """The estimates of a concentration step from those of now: n, first and second moments by group, start and bucket, then the nearest buckets'."""
-    near = rows.join(now.select(*_KEYS, "start", "mean", "inv"), _KEYS).withColumn("bucket", F.floor(F.log2(_d2() + 2.0**-20) * buckets))
-    x = [F.col(f"s{i}").cast("bigint") for i in range(P)]
+    near = rows.join(now.select(*_KEYS, "start", "mean", "inv"), _KEYS).withColumn("bucket", F.expr(f"floor(log2({_d2()} + {2.0**-20!r}D) * {buckets})"))
     keys = [*_KEYS, "start", "bucket"]
-    sums = near.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(x[i]).alias(f"m{i}") for i in range(P)], *[F.sum(x[i] * x[j]).alias(f"q{k}") for k, (i, j) in enumerate(_PAIRS)])
+    product = [f"bigint(s{i}) * s{j}" for i, j in _PAIRS]
+    sums = near.groupBy(*keys).agg(F.count("*").alias("n"), *[F.expr(f"sum(s{i})").alias(f"m{i}") for i in range(P)], *[F.expr(f"sum({x})").alias(f"q{k}") for k, x in enumerate(product)])
     lists = sums.select(*keys, "n", F.array(*[f"m{i}" for i in range(P)]).alias("m"), F.array(*[f"q{k}" for k in range(len(_PAIRS))]).alias("q"))
     return _by_group(lists, "start").mapInArrow(_estimate(share), _PARAMS)
 
@@ -276,9 +273,9 @@ def estimates(stats: DataFrame, share: float = SHARE, steps: int = STEPS, bucket
     signs = rows.join(medians, _KEYS).select(*_KEYS, "n", "mean", "inv", *[fixed(F.tanh(c)).alias(f"t{i}") for i, c in enumerate(z)], *[fixed(F.coalesce(c / F.nullif(length, F.lit(0.0)), F.lit(0.0))).alias(f"u{i}") for i, c in enumerate(z)])
     product = lambda c: [F.sum(F.col(f"{c}{i}") * F.col(f"{c}{j}")) for i, j in _PAIRS]
     moments = signs.groupBy(*_KEYS).agg(F.any_value("n").alias("n"), F.any_value("mean").alias("mean"), F.any_value("inv").alias("inv"), F.array(*[F.sum(f"t{i}") for i in range(P)]).alias("t"), F.array(*product("t")).alias("tt"), F.array(*product("u")).alias("uu"))
-    now = _by_group(moments).mapInArrow(_starts, _PARAMS)
+    now = stored(_by_group(moments).mapInArrow(_starts, _PARAMS))
     for _ in range(FIRST):
-        now = stored(_step(rows, stored(now), share, buckets))
+        now = stored(_step(rows, now, share, buckets))
     # a group goes on from its best start
     cols = ["start", "n", "logdet", "mean", "inv"]
     best = F.min_by(F.struct(*cols), F.struct("logdet", "start")).alias("b")
@@ -323,7 +320,7 @@ def judged(docs: DataFrame, share: float = SHARE, steps: int = STEPS, buckets: i
     pickd = F.when(F.col("n2") >= least, F.col("e2")).when(F.col("n1") >= least, F.col("e1")).when(F.col("n0") >= least, F.col("e0"))
     judge = stored(own.join(one, "lang").join(F.broadcast(top)).select("lang", "source", pickd.alias("e")).select("lang", "source", "e.mean", "e.inv"))
     measured = pos.mapInArrow(lambda it: X.tidy(_stats(it, at)), schema).withColumns(group)
-    near = measured.join(judge, ["lang", "source"], "left").withColumn("distance2", F.when(words, _d2()))
+    near = measured.join(judge, ["lang", "source"], "left").withColumn("distance2", F.when(words, F.expr(_d2())))
     keep = F.coalesce(words, F.lit(False)) & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= chi2_quantile(P, tail))
     return near.withColumn("keep", keep), names
 
