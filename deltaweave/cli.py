@@ -130,7 +130,7 @@ def main(argv: list[str] | None = None) -> int:
 
         s = _spark()
         index = store.store_index(readers.containers(s, a.folder), documents.state(s, a.folder, strict=False))
-        _show(index.select("entity", "eml_type", "subject", "tags") if c == "index" else store.query_store(index, a.query).select("entity") if c == "find" else store.resolve(index, store.directories(index)).orderBy("directory", "place"))
+        _show(index.select("entity", "eml_type", "subject", "tags").orderBy("entity") if c == "index" else store.query_store(index, a.query).select("entity").orderBy("entity") if c == "find" else store.resolve(index, store.directories(index)).orderBy("directory", "place"))
     elif c == "mkdir":
         from .operators.store import make_directory
 
@@ -209,7 +209,7 @@ def main(argv: list[str] | None = None) -> int:
         from .operators import binary
 
         files = _spark().read.format("binaryFile").load(a.file)
-        _show(binary.regions(binary.block_entropy(files)))
+        _show(binary.regions(binary.block_entropy(files)).orderBy("path", "begin"))
         _show(binary.strings(files))
     else:
         from .operators import site

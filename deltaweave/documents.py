@@ -98,7 +98,7 @@ def edit(spark: SparkSession, path: str, text: str, writer: str = wire.LOCAL) ->
 
 
 def log(spark: SparkSession, path: str) -> DataFrame:
-    return replay.doc_log(containers(spark, path, "deltas"))
+    return replay.doc_log(containers(spark, path, "deltas")).orderBy("entity", "arrival")
 
 
 def revert(path: str, n: int) -> tuple[int, int]:

@@ -80,22 +80,23 @@ def safe_id(col: Column) -> Column:
     return F.coalesce((F.length(col) > 0) & ~col.rlike(r"[/\\]|\.\.") & (col != "."), F.lit(False))
 
 
-MIME = {
-    "html": "text/html", "htm": "text/html", "css": "text/css", "js": "text/javascript", "json": "application/json", "md": "text/markdown", "txt": "text/plain",
-    "py": "text/x-python", "xml": "application/xml", "csv": "text/csv", "svg": "image/svg+xml", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "pdf": "application/pdf",
+_TYPES = {
+    "text/html": "html htm", "text/plain": "txt log", "text/markdown": "md", "text/css": "css", "message/rfc822": "eml", "application/json": "json", "application/yaml": "yml yaml",
+    "text/x-python": "py", "text/x-rust": "rs", "text/x-c": "c h", "text/x-shellscript": "sh", "text/x-toml": "toml",
 }
+MIME = {ext: kind for kind, all_ in _TYPES.items() for ext in all_.split()}
 OTHER_MIME = "application/octet-stream"
 
 
 def mime(path: Column) -> Column:
     """Content type by a path's extension."""
-    ext = F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
+    ext = F.lower(F.regexp_extract(path, r"[^./\\][^/\\]*\.([^./\\]+)$", 1))  # a name that only begins with a dot has none
     table = F.create_map(*[F.lit(x) for kv in MIME.items() for x in kv])
     return F.coalesce(table[ext], F.lit(OTHER_MIME))
 
 
 def mime_of(path: str) -> str:
-    m = re.search(r"\.([^./\\]+)$", path)
+    m = re.search(r"[^./\\][^/\\]*\.([^./\\]+)$", path)
     return MIME.get(m[1].lower(), OTHER_MIME) if m else OTHER_MIME
 
 

@@ -15,6 +15,7 @@ Compiled predicates are never null, so they can be negated and combined.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -137,24 +138,22 @@ def _value_test(c: Clause, op: str) -> Callable[[Column], Column]:
 
 @dataclass(frozen=True)
 class Field:
-    """Where a field's values are: an array of strings, one string, or one number; null for none."""
+    """Where a field's values are: an array of strings, one string, one whole number or one of floating point; null for none."""
 
     source: Column | str
-    kind: str  # strings, string, number
+    kind: str  # strings, string, number, float
 
     @property
     def column(self) -> Column:
         return F.col(self.source) if isinstance(self.source, str) else self.source
 
     def some(self, c: Clause, op: str) -> Column:
-        if self.kind == "number":
+        if self.kind in ("number", "float"):
             y = number(c.value)
             if y is None or y != y:
                 return F.lit(False)
-            hit = {"==": F.abs(self.column - F.lit(y)) < F.lit(TOLERANCE), ">=": self.column >= y, "<=": self.column <= y, ">": self.column > y, "<": self.column < y}[op]
-            if op == "==" and y == int(y) and abs(y) < 2**53:
-                hit = self.column == F.lit(int(y))  # pushed down to the scan
-            return self.column.isNotNull() & hit  # never null, and still pushed down
+            whole = self.kind == "number" and abs(y) < 2**53
+            return self.column.isNotNull() & (self._whole(y, op) if whole else self._float(y, op))  # never null, and pushed down to the scan
         if self.kind == "string":
             if number(c.value) is None and op == "==":
                 return self.column.isNotNull() & (self.column == F.lit(c.value))
@@ -163,6 +162,24 @@ class Field:
             return F.coalesce(F.array_contains(self.column, F.lit(c.value)), F.lit(False))
         return F.coalesce(F.exists(self.column, _value_test(c, op)), F.lit(False))
 
+    def _whole(self, y: float, op: str) -> Column:
+        """Comparisons of whole numbers, by whole literals."""
+        x = self.column
+        if op == "==":
+            return x == F.lit(round(y)) if abs(round(y) - y) < TOLERANCE else F.lit(False)
+        return {">=": x >= F.lit(math.ceil(y)), "<=": x <= F.lit(math.floor(y)), ">": x > F.lit(math.floor(y)), "<": x < F.lit(math.ceil(y))}[op]
+
+    def _float(self, y: float, op: str) -> Column:
+        """Comparisons as IEEE has them: NaN compares with nothing, and an infinite number equals none within the tolerance."""
+        x, lit = self.column.cast("double"), F.lit(y)
+        if op == "==":
+            if math.isinf(y):
+                return F.lit(False)
+            return (x >= F.lit(y - 2 * TOLERANCE)) & (x <= F.lit(y + 2 * TOLERANCE)) & (F.abs(x - lit) < F.lit(TOLERANCE))
+        if op in (">=", ">"):
+            return (x >= lit if op == ">=" else x > lit) & ~F.isnan(x)
+        return x <= lit if op == "<=" else x < lit
+
     def contains(self, c: Clause) -> Column:
         low = c.value.lower()
         one = lambda v: F.coalesce(F.contains(F.lower(v), F.lit(low)), F.lit(False))

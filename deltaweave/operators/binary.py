@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK, LEAST_STRING, LEAST_RUN = 4096, 6, 3
@@ -49,23 +49,17 @@ def block_entropy(files: DataFrame) -> DataFrame:
 def regions(blocks: DataFrame) -> DataFrame:
     """(path, begin, end, entropy, class): neighbouring blocks of one class as one region; its value is halved with each next block's."""
     kind = F.when(F.col("entropy") < PLAIN, "plain").when(F.col("entropy") < CODE, "code").otherwise("compressed")
-    rows = blocks.withColumn("class", kind)
-    runs = F.transform(F.array_sort(F.collect_list(F.struct("block", "begin", "end", "entropy", "class"))), lambda x: x)
-    acc = "array<struct<begin:bigint,end:bigint,entropy:double,class:string>>"
-
-    def merge(done, x):
-        last = F.try_element_at(done, F.lit(-1))
-        one = F.struct(x["begin"].alias("begin"), x["end"].alias("end"), x["entropy"].alias("entropy"), x["class"].alias("class"))
-        more = F.struct(last["begin"].alias("begin"), x["end"].alias("end"), ((last["entropy"] + x["entropy"]) / 2).alias("entropy"), x["class"].alias("class"))
-        same = F.coalesce(last["class"] == x["class"], F.lit(False))
-        return F.when(same, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(more))).otherwise(F.concat(done, F.array(one)))
-
-    merged = F.aggregate("_runs", F.array().cast(acc), merge)
-    return rows.groupBy("path").agg(runs.alias("_runs")).select("path", F.explode(merged).alias("r")).select("path", "r.*").orderBy("path", "begin")
+    by = Window.partitionBy("path").orderBy("block")
+    rows = blocks.withColumn("class", kind).withColumn("_new", (~F.lag("class").over(by).eqNullSafe(F.col("class"))).cast("int")).withColumn("_run", F.sum("_new").over(by))
+    # the n-th last block of a region counts 2**-n, its first one as much as the second
+    back = F.row_number().over(Window.partitionBy("path", "_run").orderBy(F.desc("block")))
+    weight = F.pow(F.lit(2.0), F.when(F.col("_new") == 1, F.lit(1) - back).otherwise(-back))
+    rows = rows.withColumn("_part", F.col("entropy") * weight)
+    return rows.groupBy("path", "_run", "class").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("_part").alias("entropy")).select("path", "begin", "end", "entropy", "class")
 
 
 def pointer_runs(files: DataFrame, sections: DataFrame) -> DataFrame:
-    """(path, vaddr, n, pointers): at least three neighbouring 8-byte words of data sections that point into code, the longest first.
+    """(path, vaddr, n, pointers): at least three neighbouring 8-byte words of data sections that point into code.
 
     sections has (path, name, vaddr, off, size); code and data are told by name.
     """
@@ -88,4 +82,19 @@ def pointer_runs(files: DataFrame, sections: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "vaddr", "n", "pointers"])
 
     joined = files.select("path", "content").join(lists, "path")
-    return joined.mapInPandas(f, "path string, vaddr bigint, n int, pointers array<bigint>").orderBy(F.desc("n"), "path", "vaddr")
+    return joined.mapInPandas(f, "path string, vaddr bigint, n int, pointers array<bigint>")
+
+
+def shown(rows: DataFrame, order: list, limit: int, each: int | None = None, lists: str | None = None) -> DataFrame:
+    """The first rows in an order, with at most `each` elements of a list column."""
+    out = rows.orderBy(*order).limit(limit)
+    return out if lists is None else out.withColumn(lists, F.slice(lists, 1, each))
+
+
+#: Runs that are shown, and pointers of each.
+TOP_RUNS, TOP_POINTERS = 10, 4
+
+
+def top_pointer_runs(runs: DataFrame) -> DataFrame:
+    """The longest runs with their first pointers."""
+    return shown(runs, [F.desc("n"), "path", "vaddr"], TOP_RUNS, TOP_POINTERS, "pointers")

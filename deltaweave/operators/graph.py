@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import body_hash
+from ..storage import stored
 
 #: Registers of the first six arguments in the System V calling convention.
 REGISTERS = tuple("rdi rsi rdx rcx r8 r9".split())
@@ -102,9 +103,9 @@ def call_sites(parsed: DataFrame) -> DataFrame:
 
 
 def callees(functions: DataFrame, edges: DataFrame) -> DataFrame:
-    """(name, callees) of every function, by name."""
+    """(name, callees) of every function."""
     own = edges.groupBy(F.col("caller").alias("name")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "callee"))), lambda x: x["callee"]).alias("callees"))
-    return functions.select("name").join(own, "name", "left").select("name", F.coalesce("callees", F.array().cast("array<string>")).alias("callees")).orderBy("name")
+    return functions.select("name").join(own, "name", "left").select("name", F.coalesce("callees", F.array().cast("array<string>")).alias("callees"))
 
 
 def callers(edges: DataFrame, name: str | None = None) -> DataFrame:
@@ -205,31 +206,27 @@ def passes(parsed: DataFrame) -> DataFrame:
 # --- waves and branches
 
 
-def _cut(df: DataFrame, step: int) -> DataFrame:
-    """Lineage is cut by a checkpoint every few levels; the context has a checkpoint folder then."""
-    spark = df.sparkSession
-    if step % 4 == 3 and spark.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df
-
-
 def wave(functions: DataFrame, passed: DataFrame, func: str, arg: int, max_depth: int = WAVE_DEPTH) -> DataFrame:
     """(func, arg, depth, path): functions that a type of one argument reaches through callers that pass it on.
 
     A function is reached once, by the first in breadth-first order, callers by
     name; path has the functions from the start to it, and sorting by depth and
-    path gives that order. Every level is one join of the frontier with passed.
+    path gives that order. Every level is one join of the stored frontier with
+    passed and one of the callers found with functions; Spark sends whichever
+    side is small.
     """
     spark = functions.sparkSession
+    names = functions.select(F.col("name").alias("func"))
     start = spark.createDataFrame([(func, arg, 0, [func])], "func string, arg int, depth int, path array<string>")
-    seen = start.join(functions.select(F.col("name").alias("func")).distinct(), "func", "left_semi")
-    front = seen
+    front = seen = stored(start.join(names.where(F.col("func") == func).distinct(), "func"))
     for depth in range(1, max_depth + 1):
-        step = front.join(passed, (front["func"] == passed["callee"]) & (front["arg"] == passed["callee_arg"]))
+        step = front.select(F.col("func").alias("callee"), F.col("arg").alias("callee_arg"), "path").join(passed, ["callee", "callee_arg"])
         step = step.select(F.col("caller").alias("func"), F.col("caller_arg").alias("arg"), F.lit(depth).alias("depth"), F.concat("path", F.array("caller")).alias("path"))
-        step = step.join(functions.select(F.col("name").alias("func")).distinct(), "func", "left_semi").join(seen.select("func"), "func", "left_anti")
         first = Window.partitionBy("func").orderBy("path", "arg")
-        front = _cut(step.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"), depth)
+        step = stored(step.join(seen.select("func"), "func", "left_anti").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"))
+        front = stored(step.join(step.select("func").join(names, "func").distinct(), "func"))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 
@@ -242,7 +239,7 @@ def mark(arg_types: DataFrame, reached: DataFrame, type_: str) -> DataFrame:
 
 def type_map(arg_types: DataFrame) -> DataFrame:
     """(func, types): arg=type of each function, by argument."""
-    return arg_types.groupBy("func").agg(F.transform(F.array_sort(F.collect_list(F.struct("arg", "type"))), lambda x: F.format_string("arg%d=%s", x["arg"], x["type"])).alias("types")).orderBy("func")
+    return arg_types.groupBy("func").agg(F.transform(F.array_sort(F.collect_list(F.struct("arg", "type"))), lambda x: F.format_string("arg%d=%s", x["arg"], x["type"])).alias("types"))
 
 
 def signatures(arg_types: DataFrame) -> DataFrame:
@@ -252,12 +249,19 @@ def signatures(arg_types: DataFrame) -> DataFrame:
 
 
 def reach(edges: DataFrame, func: str, depth: int) -> DataFrame:
-    """(name, depth): a function and its callers up to a number of calls away."""
-    spark = edges.sparkSession
-    edges.select("caller", "callee").distinct().createOrReplaceTempView("_reach_edges")
-    name = func.replace("\\", "\\\\").replace("'", "\\'")
-    return spark.sql(f"""with recursive up(name, depth) as (select '{name}', 0 union all select e.caller, up.depth + 1 from up join _reach_edges e on e.callee = up.name where up.depth < {int(depth)})
-        select name, min(depth) as depth from up group by name""")
+    """(name, depth): a function and its callers up to a number of calls away, each by its least depth.
+
+    Every level is one join of the stored frontier with edges; what has been
+    reached isn't followed again, so the work is bounded by the edges.
+    """
+    seen = front = stored(edges.sparkSession.createDataFrame([(func, 0)], "name string, depth int"))
+    for d in range(1, depth + 1):
+        step = front.select(F.col("name").alias("callee")).join(edges.select("callee", "caller"), "callee").select(F.col("caller").alias("name")).distinct()
+        front = stored(step.join(seen.select("name"), "name", "left_anti").withColumn("depth", F.lit(d)))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
 
 
 def branch(parsed: DataFrame, func: str, name: str, depth: int = BRANCH_DEPTH) -> DataFrame:
@@ -272,7 +276,7 @@ def branch(parsed: DataFrame, func: str, name: str, depth: int = BRANCH_DEPTH) -
 
 def branches(cells: DataFrame) -> DataFrame:
     """(branch, root, n) of the cells that belong to branches; a branch without a root has its least name."""
-    return cells.where("branch is not null").groupBy("branch").agg(F.coalesce(F.min(F.when(F.col("root"), F.col("name"))), F.min("name")).alias("root"), F.count("*").alias("n")).orderBy("branch")
+    return cells.where("branch is not null").groupBy("branch").agg(F.coalesce(F.min(F.when(F.col("root"), F.col("name"))), F.min("name")).alias("root"), F.count("*").alias("n"))
 
 
 def without_branch(cells: DataFrame, name: str) -> DataFrame:
@@ -284,7 +288,7 @@ def without_branch(cells: DataFrame, name: str) -> DataFrame:
 
 def cluster(functions: DataFrame, pattern: str) -> DataFrame:
     """Names of functions in whose name or lines the pattern occurs, in any case."""
-    return functions.where(F.contains(F.lower(F.concat_ws(" ", "name", "listing")), F.lit(pattern.lower()))).select("name").orderBy("name")
+    return functions.where(F.contains(F.lower(F.concat_ws(" ", "name", "listing")), F.lit(pattern.lower()))).select("name")
 
 
 def version_diff(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -292,7 +296,7 @@ def version_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     x = a.select("name", body_hash(F.col("listing")).alias("x"), F.lit(1).alias("in_a"))
     y = b.select("name", body_hash(F.col("listing")).alias("y"), F.lit(1).alias("in_b"))
     change = F.when(F.col("in_a").isNull(), "added").when(F.col("in_b").isNull(), "removed").when(~F.col("x").eqNullSafe(F.col("y")), "changed")
-    return x.join(y, "name", "full_outer").select("name", change.alias("change")).where("change is not null").orderBy("name")
+    return x.join(y, "name", "full_outer").select("name", change.alias("change")).where("change is not null")
 
 
 def string_references(parsed: DataFrame) -> DataFrame:

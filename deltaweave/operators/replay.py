@@ -148,7 +148,7 @@ def manifest(deltas: DataFrame) -> DataFrame:
 
 
 def export_since(deltas: DataFrame, writer: str, since: int = 0) -> DataFrame:
-    return deltas.where((F.col("writer") == writer) & (F.col("seq") > since)).orderBy("entity", "seq")
+    return deltas.where((F.col("writer") == writer) & (F.col("seq") > since))
 
 
 def missing(deltas: DataFrame, known: DataFrame) -> DataFrame:
@@ -198,18 +198,20 @@ def numbered(changes: DataFrame, deltas: DataFrame, order: list[str]) -> DataFra
 
 def compact(deltas: DataFrame, base: DataFrame | None = None, strict: bool = True) -> DataFrame:
     """The state as a new base; the log that it stands for is then empty."""
-    return materialise(deltas, base, strict).orderBy("entity", "tbl", "key")
+    return materialise(deltas, base, strict)
 
 
 def tables(deltas: DataFrame) -> DataFrame:
-    return deltas.select("entity", "tbl").distinct().orderBy("entity", "tbl")
+    return deltas.select("entity", "tbl").distinct()
 
 
 def rollback(deltas: DataFrame, n: int) -> DataFrame:
     """The log without each entity's last n blocks."""
-    total = F.count("*").over(Window.partitionBy("entity"))
-    place = F.row_number().over(Window.partitionBy("entity").orderBy("arrival"))
-    return deltas.withColumns({"_total": total, "_place": place}).where(F.col("_place") <= F.col("_total") - n).drop("_total", "_place")
+    # the last n by entity are found with n rows at most for each of a task's entities, as the rank is limited before the exchange
+    place = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("arrival")))
+    last = deltas.select("entity", "arrival").withColumn("_place", place).where(F.col("_place") <= n)
+    edge = last.groupBy("entity").agg(F.min("arrival").alias("_edge"))
+    return deltas.join(edge, "entity", "left").where((F.col("_edge").isNull()) | (F.col("arrival") < F.col("_edge"))).drop("_edge") if n > 0 else deltas
 
 
 # --- documents
@@ -219,11 +221,11 @@ DOC, LINES = "doc", "lines"
 
 def doc_lines(deltas: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """(entity, place, id, v): a document's lines in order."""
-    return list_values(lookup(materialise(deltas, base), DOC, LINES)).select("entity", "place", "id", "v").orderBy("entity", "place")
+    return list_values(lookup(materialise(deltas, base), DOC, LINES)).select("entity", "place", "id", "v")
 
 
 def doc_log(deltas: DataFrame) -> DataFrame:
     """(entity, arrival, writer, seq, time, tbl, key, shown): a readable history, values cut after 40 characters."""
     text = F.coalesce(F.get_json_object(F.concat(F.lit("["), F.col("value"), F.lit("]")), "$[0]"), F.lit("null"))
     shown = F.when(F.length(text) > 40, F.concat(F.substring(text, 1, 40), F.lit("..."))).otherwise(text)
-    return deltas.select("entity", "arrival", "writer", "seq", day_time(F.col("ts")).alias("time"), "tbl", "key", shown.alias("shown")).orderBy("entity", "arrival")
+    return deltas.select("entity", "arrival", "writer", "seq", day_time(F.col("ts")).alias("time"), "tbl", "key", shown.alias("shown"))

@@ -32,7 +32,7 @@ def dynamic_tags(state: DataFrame) -> DataFrame:
 
 
 def store_index(containers: DataFrame, state: DataFrame | None = None) -> DataFrame:
-    """(path, entity, eml_type, subject, size, tags, headers) by entity, with the tags of the change log as further X-Tag headers."""
+    """(path, entity, eml_type, subject, size, tags, headers), with the tags of the change log as further X-Tag headers."""
     static = F.transform(F.filter("headers", lambda h: F.lower(h["k"]) == "x-tag"), lambda h: F.trim(h["v"]))
     rows = containers.where("error is null") if "error" in containers.columns else containers
     rows = rows.withColumn("_static", static)
@@ -41,11 +41,11 @@ def store_index(containers: DataFrame, state: DataFrame | None = None) -> DataFr
     rows = rows.withColumn("_more", F.array_sort(more))
     tags = F.array_sort(F.concat("_static", "_more"))
     extra = F.transform("_more", lambda t: F.struct(F.lit("X-Tag").alias("k"), t.alias("v")))
-    return rows.select("path", "entity", "eml_type", "subject", "size", tags.alias("tags"), F.concat("headers", extra).alias("headers")).orderBy("entity")
+    return rows.select("path", "entity", "eml_type", "subject", "size", tags.alias("tags"), F.concat("headers", extra).alias("headers"))
 
 
 def query_store(index: DataFrame, query: str) -> DataFrame:
-    return index.where(compile_store_query(query, F.col("headers"))).orderBy("entity")
+    return index.where(compile_store_query(query, F.col("headers")))
 
 
 def directories(index: DataFrame) -> DataFrame:
@@ -92,9 +92,9 @@ def make_directory(name: str, query: str | None = None, contains: list[str] | No
 
 
 def tag_members(posts: DataFrame) -> DataFrame:
-    """(tag, names) of posts (name, tags, ts), newest first, by tag."""
+    """(tag, names) of posts (name, tags, ts), newest first."""
     each = posts.select(F.explode("tags").alias("tag"), F.struct(F.negative("ts").alias("t"), F.col("name")).alias("p"))
-    return each.groupBy("tag").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["name"]).alias("names")).orderBy("tag")
+    return each.groupBy("tag").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["name"]).alias("names"))
 
 
 def first_header(df: DataFrame, name: str, alias: str) -> DataFrame:

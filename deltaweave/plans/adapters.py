@@ -23,7 +23,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Where the predicate language finds a record's headers.
-RECORD_FIELDS = {"x-tag": Field("tag", "string"), "x-device-id": Field("device", "number"), "x-timestamp": Field("ts", "number"), "x-record-id": Field("record_id", "number"), "x-value": Field("value", "number")}
+RECORD_FIELDS = {"x-tag": Field("tag", "string"), "x-device-id": Field("device", "number"), "x-timestamp": Field("ts", "number"), "x-record-id": Field("record_id", "number"), "x-value": Field("value", "float")}
 
 
 def with_headers(rec: DataFrame) -> DataFrame:

@@ -95,8 +95,8 @@ def _wave(s: SparkSession, d: str) -> DataFrame:
     """A wave over orders that customers pass on: customer -> order -> part, by key."""
     o = A.table(s, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("caller"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("callee"))
     p = A.table(s, d, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("caller"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("callee"))
-    e = o.unionByName(p).distinct()
-    nodes = e.select(F.col("caller").alias("name")).union(e.select("callee")).distinct()
+    e = o.unionByName(p)
+    nodes = e.select(F.col("caller").alias("name")).union(e.select("callee"))
     passed = e.select("caller", "callee", F.lit(0).alias("callee_arg"), F.lit(0).alias("caller_arg"))
     return graph.wave(nodes, passed, "p42", 0, 2).select("func", "depth")
 

@@ -32,7 +32,7 @@ class CallGraph:
         return self.graph().where(F.col("name") == name)
 
     def cluster(self, pattern: str) -> DataFrame:
-        return graph.cluster(self.functions, pattern)
+        return graph.cluster(self.functions, pattern).orderBy("name")
 
     def wave(self, func: str, arg: int, type_: str, depth: int = graph.WAVE_DEPTH) -> DataFrame:
         """Marks a type and gives what it reached; `types` has it from then on."""
@@ -41,10 +41,10 @@ class CallGraph:
         return reached.orderBy("depth", "path").select("func", "arg", "depth")
 
     def types(self) -> DataFrame:
-        return graph.type_map(self.types_)
+        return graph.type_map(self.types_).orderBy("func")
 
     def diff(self, other: CallGraph) -> DataFrame:
-        return graph.version_diff(self.functions, other.functions)
+        return graph.version_diff(self.functions, other.functions).orderBy("name")
 
     def graph(self) -> DataFrame:
-        return graph.callees(self.functions, self.edges)
+        return graph.callees(self.functions, self.edges).orderBy("name")

@@ -45,7 +45,7 @@ def test_edges(spark, parsed):
     edges = graph.call_edges(parsed)
     assert {(r.caller, r.callee) for r in edges.collect()} == {("net_send", "helper"), ("player_move", "net_send"), ("main", "player_move"), ("main", "net_send")}
     assert graph.callers(edges, "player_move").first().callers == ["main"]
-    assert [(r.name, r.callees) for r in graph.callees(parsed, edges).collect()] == [("main", ["player_move", "net_send"]), ("net_send", ["helper"]), ("player_move", ["net_send"])]
+    assert [(r.name, r.callees) for r in graph.callees(parsed, edges).orderBy("name").collect()] == [("main", ["player_move", "net_send"]), ("net_send", ["helper"]), ("player_move", ["net_send"])]
     assert '  "main" -> "player_move";' in [r.value for r in graph.dot(edges).collect()]
     assert graph.call_sites(parsed).where("caller = 'main' and site_no = 0").count() == 6
 
@@ -67,10 +67,10 @@ def test_wave_through_saved_parameters(spark):
 
 
 def test_cluster_and_diff(spark, parsed):
-    assert [r.name for r in graph.cluster(parsed, "PLAYER").collect()] == ["main", "player_move"]
+    assert [r.name for r in graph.cluster(parsed, "PLAYER").orderBy("name").collect()] == ["main", "player_move"]
     moved = LISTING.replace("1119", "2229").replace("111a", "222a")
     b = graph.analyse(spark.createDataFrame([("b", moved.replace("<helper>", "<other>") + "0 <new>:\n 1:\tret\n")], "binary string, listing string"))
-    assert [tuple(r) for r in graph.version_diff(parsed, b).collect()] == [("net_send", "changed"), ("new", "added")]
+    assert [tuple(r) for r in graph.version_diff(parsed, b).orderBy("name").collect()] == [("net_send", "changed"), ("new", "added")]
     same = graph.analyse(spark.createDataFrame([("b", moved)], "binary string, listing string"))
     assert graph.version_diff(parsed, same).count() == 0
 
@@ -115,7 +115,7 @@ def test_strings_and_regions(spark):
 
     blob = b"A" * 8192 + random.Random(1).randbytes(8192) + b"\0tail text here"
     files = spark.createDataFrame([("p", blob)], "path string, content binary")
-    got = binary.regions(binary.block_entropy(files)).collect()
+    got = binary.regions(binary.block_entropy(files)).orderBy("begin").collect()
     assert [(r.begin, r.end, r["class"]) for r in got] == [(0, 8192, "plain"), (8192, 16384, "compressed"), (16384, len(blob), "plain")]
     texts = {(r.off, r.text) for r in binary.strings(files).collect()}
     assert (16385, "tail text here") in texts and any(o == 0 and t.startswith("A" * 8192) for o, t in texts)
@@ -128,10 +128,32 @@ def test_pointer_runs(spark):
     blob = b"\0" * 64 + struct.pack(f"<{len(words)}Q", *words)
     files = spark.createDataFrame([("p", blob)], "path string, content binary")
     secs = spark.createDataFrame([("p", ".text", 0x1000, 0, 0x100), ("p", ".rodata", 0x4000, 64, 8 * len(words)), ("p", ".bss", 0, 0, 0)], "path string, name string, vaddr bigint, off bigint, size bigint")
-    assert [(r.vaddr, r.n) for r in binary.pointer_runs(files, secs).collect()] == [(0x4000 + 64, 4), (0x4008, 3)]
+    assert [(r.vaddr, r.n) for r in binary.top_pointer_runs(binary.pointer_runs(files, secs)).collect()] == [(0x4000 + 64, 4), (0x4008, 3)]
 
 
 def test_string_references(spark):
     t = "0 <f>:\n 1:\tlea rdi,[rip+1] # <hello>\n 2:\tlea rdi,[rip+2] # <hello>\n 3:\tlea # <bye>\n"
     p = graph.analyse(spark.createDataFrame([("b", t)], "binary string, listing string"))
     assert graph.string_references(p).first().refs == ["hello", "bye"]
+
+
+def test_reach_of_a_complete_graph(spark):
+    names = [f"f{i}" for i in range(12)]
+    edges = spark.createDataFrame([(a, b, 0) for a in names for b in names], "caller string, callee string, pos int")
+    assert sorted((r.name, r.depth) for r in graph.reach(edges, "f3", 6).collect()) == sorted([("f3", 0), *[(n, 1) for n in names if n != "f3"]])
+
+
+def test_regions_equal_a_fold(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(p, i, 4096 * i, 4096 * (i + 1), rng.choice([1.0, 4.0, 5.0, 7.0, 7.9])) for p in "ab" for i in range(60)]
+    want = []
+    for p, _, a, b, e in rows:
+        kind = "plain" if e < 4.5 else "code" if e < 7.5 else "compressed"
+        if want and want[-1][0] == p and want[-1][4] == kind:
+            want[-1] = (p, want[-1][1], b, (want[-1][3] + e) / 2, kind)
+        else:
+            want.append((p, a, b, e, kind))
+    got = binary.regions(spark.createDataFrame(rows, "path string, block bigint, begin bigint, end bigint, entropy double")).orderBy("path", "begin").collect()
+    assert [(*r[:3], round(r[3], 9), r[4]) for r in got] == [(*w[:3], round(w[3], 9), w[4]) for w in want]

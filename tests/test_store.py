@@ -24,7 +24,7 @@ def test_index_tags_and_queries(spark, tmp_path):
     D.put(f"{f}/game_arcade_v1.eml", "tags", "retro", True)
     D.put(f"{f}/audio_engine.eml", "tags", "retro", False)
     D.put(f"{f}/manual.eml", "tags", "gone", None)
-    rows = index(spark, f).collect()
+    rows = index(spark, f).orderBy("entity").collect()
     assert [(r.entity.split("@")[0], r.tags) for r in rows] == [("audio_engine", ["retro"]), ("game_arcade_v1", ["retro"]), ("manual", [])]
     find = lambda q: [r.entity.split("@")[0] for r in store.query_store(index(spark, f), q).collect()]
     assert find('X-Tag == "retro" AND Subject == "arcade"') == ["game_arcade_v1"] and find('X-Tag != "retro"') == ["manual"]
@@ -50,7 +50,7 @@ def test_posts_site_and_front_matter(spark, tmp_path):
         wire.write_file(str(posts / f"{n}.eml"), wire.build(n, f'T "<{n}>"', [wire.Section("body", "text/markdown", "body.md", b"# Hi\n- i\n\n**b** [l](u)\n")], [*extra, ("X-Timestamp", str(ts))]))
     df = readers.posts(spark, str(posts)).cache()
     assert [(r.name, r.tags) for r in df.collect()] == [("b", ["y"]), ("a", ["x", "y"]), ("c", [])]
-    assert [(r.tag, r.names) for r in store.tag_members(df).collect()] == [("x", ["a"]), ("y", ["b", "a"])]
+    assert [(r.tag, r.names) for r in store.tag_members(df).orderBy("tag").collect()] == [("x", ["a"]), ("y", ["b", "a"])]
     out = tmp_path / "out"
     assert site.write_files(site.pages(df), str(out)) == 5
     html = (out / "index.html").read_text()

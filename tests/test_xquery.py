@@ -89,3 +89,22 @@ def test_columns_of_their_own_reach_the_scan(spark, data):
 def test_store_rule():
     with pytest.raises(X.QueryError):
         X.compile_store_query("OR")
+
+
+def test_numbers_in_columns_compare_like_those_in_headers(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from deltaweave.functions.xquery import Field, compile_query, matches
+
+    values = [7.0, 7.0000000001, 7.1, -7.5, 0.0, math.nan, math.inf, -math.inf, None, 2.0**60]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    whole = spark.createDataFrame([(i, v) for i, v in enumerate([7, 8, -7, 0, None, 2**53 + 1, 2**62])], "i int, v bigint")
+    for kind, t in (("float", df), ("number", whole)):
+        for op in ("==", "!=", ">=", "<=", ">", "<"):
+            for y in ("7", "7.0000000001", "7.5", "-7", "inf", "-inf", "nan", "text", "9007199254740993", "1e300"):
+                q = f"X-V {op} {y}"
+                got = {r.i for r in t.where(compile_query(q, fields={"x-v": Field("v", kind)})).collect()}
+                want = {r.i for r in t.collect() if matches([] if r.v is None else [("X-V", repr(r.v))], q)}
+                assert got == want, (kind, q)
