@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.xquery import compile_query
 from ..operators import binary, graph, integrity, linediff, replay, store
 from . import adapters as A
+from . import rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = 'X-Tag == "purchase" AND X-Timestamp >= 1704067200'
@@ -34,11 +35,6 @@ def _state(s: SparkSession, d: str) -> DataFrame:
     return replay.materialise(A.deltas(s, d)).select("entity", "key", "value")
 
 
-def _kv_lww(s: SparkSession, d: str) -> DataFrame:
-    e = A.table(s, d, "events")
-    return e.groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
-
-
 def _heads(s: SparkSession, d: str) -> DataFrame:
     return replay.heads(A.deltas(s, d)).select("entity", "writer", "seq", "hash")
 
@@ -59,11 +55,6 @@ def _compact(s: SparkSession, d: str) -> DataFrame:
     return replay.materialise(log.where("ts >= 1705276800"), half).select("entity", "key", "value")
 
 
-def _chain(s: SparkSession, d: str) -> DataFrame:
-    e = A.table(s, d, "events")
-    return e.select("event_id", F.lag(F.sha2("props", 256), 1, "base").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("prev_hash"))
-
-
 def _chain_issues(s: SparkSession, d: str) -> DataFrame:
     """The chain check over a log in which every 97th event names a wrong predecessor."""
     log = A.deltas(s, d)
@@ -111,22 +102,21 @@ def _dir_union(s: SparkSession, d: str) -> DataFrame:
     return store.resolve(docs, dirs).select("directory", "entity")
 
 
-def _tag_index(s: SparkSession, d: str) -> DataFrame:
-    docs = A.documents(s, d)
-    return docs.select(F.explode("tags").alias("tag"), "doc_id").groupBy("tag").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("docs"))
-
-
 def _tag_stats(s: SparkSession, d: str) -> DataFrame:
     return store.record_stats(A.table(s, d, "documents").select(F.col("n_chars").alias("size")))
 
 
 def _json(s: SparkSession, d: str) -> DataFrame:
     e = A.table(s, d, "events")
-    return e.groupBy(F.get_json_object(F.col("props"), "$.k").cast("bigint").alias("k")).agg(F.count("*").alias("n"))
+    return e.groupBy(F.get_json_object(T.json_or_empty(F.col("props")), "$.k").cast("bigint").alias("k")).agg(F.count("*").alias("n"))
 
 
 def _doc_lines(s: SparkSession, d: str) -> DataFrame:
-    return A.table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    """Documents as lists of lines that were added one after the other, replayed."""
+    none = F.lit(None).cast("string")
+    lines = A.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("entity"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    log = lines.select("entity", F.lit("doc").alias("tbl"), F.lit("lines").alias("key"), F.lit("add").alias("op"), F.to_json(F.struct("line")).alias("value"), F.col("n").cast("bigint").alias("ts"), F.lit("w").alias("writer"), F.lit(1).alias("arrival"), F.col("n").cast("string").alias("id"), none.alias("after"))
+    return replay.doc_lines(log).select(F.col("entity").cast("bigint").alias("doc_id"), "place", F.get_json_object("v", "$.line").alias("line"))
 
 
 def _line_sets(s: SparkSession, d: str) -> DataFrame:
@@ -134,10 +124,6 @@ def _line_sets(s: SparkSession, d: str) -> DataFrame:
     return linediff.line_sets(lines.where("length(text) % 5 <> 0"), lines.where("length(text) % 3 <> 0"))
 
 
-def _memory(s: SparkSession, d: str) -> DataFrame:
-    return A.table(s, d, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"), F.max("turn").alias("turn"))
-
-
 def _dates(s: SparkSession, d: str) -> DataFrame:
     e = A.table(s, d, "events")
     return e.select("event_id", T.civil_time(A.epoch()).alias("time"), T.day_time(A.epoch()).alias("day"), A.epoch().alias("seconds"))
@@ -147,23 +133,10 @@ def _escape(s: SparkSession, d: str) -> DataFrame:
     return A.table(s, d, "pages").select("page_id", T.escape(F.col("html")).alias("escaped"))
 
 
-def _mime(s: SparkSession, d: str) -> DataFrame:
-    ext = F.element_at(F.array(*[F.lit(x) for x in (".html", ".json", ".py", ".PNG", "", ".tar.gz", ".md")]), (F.col("p_partkey") % 7 + 1).cast("int"))
-    return A.table(s, d, "part").select("p_partkey", T.mime(F.concat(F.lit("a/b"), ext)).alias("ct"))
-
-
 def _names(s: SparkSession, d: str) -> DataFrame:
     return A.table(s, d, "pages").select("page_id", T.event_name(F.col("url")).alias("event"), T.file_name(F.col("url")).alias("file"), T.address(F.concat(F.lit(" <"), F.col("url"), F.lit("> "))).alias("address"), T.safe_id(F.col("url")).alias("safe"))
 
 
-def _entropy(s: SparkSession, d: str) -> DataFrame:
-    """Character entropy of each document, in the JVM."""
-    chars = A.table(s, d, "documents").where("length(text) > 0").select("doc_id", F.length("text").alias("total"), F.explode(F.split("text", "")).alias("c"))
-    n = chars.groupBy("doc_id", "total", "c").count()
-    p = F.col("count") / F.col("total")
-    return n.groupBy("doc_id").agg(F.round(-F.sum(p * F.log2(p)), 5).alias("entropy"))
-
-
 def _block_entropy(s: SparkSession, d: str) -> DataFrame:
     """Byte entropy of each document's blocks of 4096 bytes."""
     files = A.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
@@ -175,10 +148,6 @@ def _strings(s: SparkSession, d: str) -> DataFrame:
     return binary.strings(files).groupBy("path").agg(F.count("*").alias("n"), F.sum("len").alias("bytes"))
 
 
-def _body_hash(s: SparkSession, d: str) -> DataFrame:
-    return A.table(s, d, "conversations").select("conv_id", "turn", F.sha2("text", 256).alias("hash"))
-
-
 def _signatures(s: SparkSession, d: str) -> DataFrame:
     types = A.table(s, d, "lineitem").where("l_linenumber <= 3").select(F.concat(F.lit("f"), F.col("l_orderkey").cast("string"), F.lit("@b")).alias("func"), F.col("l_linenumber").alias("arg"), F.col("l_returnflag").alias("type"))
     return graph.signatures(types)
@@ -187,7 +156,7 @@ def _signatures(s: SparkSession, d: str) -> DataFrame:
 def _next_seq(s: SparkSession, d: str) -> DataFrame:
     log = A.deltas(s, d)
     new = log.where("event_id % 10 = 0").select("entity", "writer", "event_id", "ts")
-    return replay.numbered(new, log.where("event_id % 10 <> 0"), ["ts", "event_id"]).select("event_id", "seq")
+    return replay.numbered(new, log.where("event_id % 10 <> 0"), ["ts", "event_id"]).select("event_id", "seq", "prev_hash")
 
 
 def _ready(s: SparkSession, d: str) -> DataFrame:
@@ -198,11 +167,6 @@ def _ready(s: SparkSession, d: str) -> DataFrame:
     return replay.applicable(rest.select("entity", "writer", "seq", "prev_hash", "hash", "event_id"), have, base).select("event_id", "status")
 
 
-def _addressee(s: SparkSession, d: str) -> DataFrame:
-    e = A.table(s, d, "events").withColumn("to", F.when(F.col("event_id") % 9 == 0, "*").otherwise(F.col("user_id").cast("string")))
-    return e.where(F.col("to").isin("7", "*")).select("event_id")
-
-
 def _post_tags(s: SparkSession, d: str) -> DataFrame:
     docs = A.documents(s, d)
     posts = docs.select(F.col("entity").alias("name"), F.col("doc_id").alias("ts"), "tags")
@@ -221,19 +185,12 @@ def _shown(s: SparkSession, d: str) -> DataFrame:
     return A.table(s, d, "pages").select("page_id", T.is_text(F.concat("html", F.when(F.col("page_id") % 5 == 0, F.lit("\x01")).otherwise(""))).alias("is_text"))
 
 
-def _encrypt(s: SparkSession, d: str) -> DataFrame:
-    key = F.unhex(F.sha2(F.lit("pass"), 256))
-    c = A.table(s, d, "conversations")
-    back = F.decode(F.aes_decrypt(F.aes_encrypt(F.encode("text", "UTF-8"), key, F.lit("GCM")), key, F.lit("GCM")), "UTF-8")
-    return c.select("conv_id", "turn", back.alias("text"))
-
-
 def _canonical(s: SparkSession, d: str) -> DataFrame:
     return A.table(s, d, "events").select("event_id", F.get_json_object(T.json_or_empty(F.concat(F.when(F.col("event_id") % 4 == 0, "!").otherwise(""), F.col("props"))), "$.k").cast("bigint").alias("k"))
 
 
 def queries() -> dict[str, Query]:
-    return {
+    return rows.queries() | {
         "flagship_purchases": flagship,
         "xq_and": _xq('X-Tag == "click" AND X-Value > 50'),
         "xq_or": _xq('X-Tag == "error" OR X-Tag == "signup" AND X-Device-ID <= 20'),
@@ -246,7 +203,6 @@ def queries() -> dict[str, Query]:
         "xq_multi_and": _xq_headers('X-Tag == "de" AND X-Tag == "src4"'),
         "xq_order_on_text": _xq_headers('X-Tag > "a" OR X-Size > 10000'),
         "subject_substring": _xq_headers('Subject >= "THe"'),
-        "kv_lww": _kv_lww,
         "kv_state": _state,
         "compact_state": _compact,
         "writer_heads": _heads,
@@ -254,7 +210,6 @@ def queries() -> dict[str, Query]:
         "rollback_n": _rollback,
         "next_seq": _next_seq,
         "blocks_ready": _ready,
-        "chain_prev_hash": _chain,
         "verify_bad_links": _chain_issues,
         "version_diff": _version_diff,
         "callers": _callers,
@@ -263,7 +218,6 @@ def queries() -> dict[str, Query]:
         "type_signatures": _signatures,
         "cluster_search": _cluster,
         "dir_union": _dir_union,
-        "tag_index": _tag_index,
         "tag_members": _post_tags,
         "tag_stats": _tag_stats,
         "json_field_count": _json,
@@ -272,17 +226,11 @@ def queries() -> dict[str, Query]:
         "line_sets": _line_sets,
         "list_replay": _list_replay,
         "text_test": _shown,
-        "memory_last_turn": _memory,
         "civil_time": _dates,
         "html_escape": _escape,
-        "mime_by_ext": _mime,
         "safe_names": _names,
-        "entropy_text": _entropy,
         "entropy_blocks": _block_entropy,
         "printable_strings": _strings,
-        "body_hash": _body_hash,
-        "aes_round_trip": _encrypt,
-        "addressee": _addressee,
     }
 
 
@@ -296,11 +244,10 @@ def oracle_sql() -> dict[str, str]:
     secs = "floor(epoch(ts))::bigint"
     last = "select entity, key, op, value from (select *, row_number() over (partition by entity, key order by ts desc, writer desc, event_id desc) as n from d) where n = 1"
     state = f"with {_D} select entity, key, {_TEXT.format('value')} as value from ({last}) where op <> 'del'"
-    mime = "case p_partkey % 7 when 0 then 'text/html' when 1 then 'application/json' when 2 then 'text/x-python' when 3 then 'image/png' when 6 then 'text/markdown' else 'application/octet-stream' end"
     esc = "replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
     dirs = """with subj as (select doc_id::varchar as entity, lang, source, n_chars from documents)
 select 'german' as directory, entity from subj where lang = 'de' or entity in ('1', '3') union all select 'large', entity from subj where n_chars >= 9000 or (source = 'src3' and n_chars > 5000) union all select 'broken', entity from subj where entity = '5'"""
-    return {
+    return rows.oracle_sql(_D) | {
         "flagship_purchases": f"select user_id as device, count(*) as n from events where event_type = 'purchase' and {secs} >= 1704067200 group by user_id",
         "xq_and": rec + "event_type = 'click' and value > 50",
         "xq_or": rec + "event_type = 'error' or (event_type = 'signup' and user_id <= 20)",
@@ -313,18 +260,16 @@ select 'german' as directory, entity from subj where lang = 'de' or entity in ('
         "xq_multi_and": "select doc_id from documents where lang = 'de' and source = 'src4'",
         "xq_order_on_text": "select doc_id from documents where n_chars > 10000",
         "subject_substring": "select doc_id from documents where contains(lower(split_part(text, chr(10), 1)), 'the')",
-        "kv_lww": "select user_id, event_type, arg_max(value, (ts, event_id)) as value from events group by all",
         "kv_state": state,
         "compact_state": state,
         "writer_heads": f"with {_D} select entity, writer, max(seq) as seq, arg_max(hash, seq) as hash from d group by all",
         "missing_blocks": f"with {_D}, k as (select writer, max(seq) // 2 as last_seq from d where writer::int % 3 <> 0 group by writer) select event_id from d left join k using (writer) where seq > coalesce(last_seq, 0)",
         "rollback_n": f"with {_D} select event_id from (select event_id, row_number() over (partition by entity order by event_id desc) as n from d) where n > 10",
-        "next_seq": f"with {_D}, h as (select writer, max(seq) as seq from (select writer, row_number() over (partition by writer order by ts, event_id) as o, seq, event_id from d) where event_id % 10 <> 0 group by writer) select event_id, coalesce(h.seq, 0) + row_number() over (partition by d.writer order by ts, event_id) as seq from d left join h using (writer) where event_id % 10 = 0",
+        "next_seq": f"with {_D}, h as (select writer, max(seq) as seq, arg_max(hash, seq) as hash from d where event_id % 10 <> 0 group by writer) select event_id, coalesce(h.seq, 0) + row_number() over (partition by d.writer order by ts, event_id) as seq, case when row_number() over (partition by d.writer order by ts, event_id) = 1 then h.hash end as prev_hash from d left join h using (writer) where event_id % 10 = 0",
         "blocks_ready": f"""with {_D}, have as (select * from d where ts < 1705276800), h as (select writer, max(seq) as head from have group by writer),
 b as (select d.*, coalesce(h.head, 0) as head from d left join h using (writer) where ts >= 1704844800 and event_id % 50 <> 0),
 r as (select *, seq <= head as known, seq - head = row_number() over (partition by writer, seq <= head order by seq) as good from b)
 select event_id, case when known then 'applied' when bool_and(good) over (partition by writer, known order by seq rows unbounded preceding) then 'ready' else 'pending' end as status from r""",
-        "chain_prev_hash": "select event_id, lag(sha256(props), 1, 'base') over (partition by user_id order by ts, event_id) as prev_hash from events",
         "verify_bad_links": f"with {_D} select entity, 'delta ' || writer || '#' || seq::varchar || ' chain break' as issue from d where event_id % 97 = 0",
         "version_diff": "select doc_id::varchar as name, case when doc_id % 7 = 0 then 'added' when doc_id % 5 = 0 then 'removed' else 'changed' end as change from documents where (doc_id % 7 = 0 and doc_id % 5 <> 0) or (doc_id % 7 <> 0 and doc_id % 5 = 0) or (doc_id % 11 = 0 and doc_id % 7 <> 0 and doc_id % 5 <> 0)",
         "callers": "select 'p' || l_partkey as callee, array_to_string(list_sort(list(distinct 's' || l_suppkey)), ',') as callers from lineitem group by l_partkey",
@@ -333,7 +278,6 @@ select event_id, case when known then 'applied' when bool_and(good) over (partit
         "type_signatures": "select 'f' || l_orderkey || '(' || string_agg(l_returnflag || ' arg' || l_linenumber, ', ' order by l_linenumber, l_returnflag) || ')' as signature, 'f' || l_orderkey || '@b' as func from lineitem where l_linenumber <= 3 group by l_orderkey",
         "cluster_search": "select doc_id::varchar as name from documents where contains(lower(doc_id::varchar || ' ' || text), 'license')",
         "dir_union": dirs,
-        "tag_index": "select tag, array_to_string(list_sort(list(doc_id)), ',') as docs from (select unnest([lang, source]) as tag, doc_id from documents) group by tag",
         "tag_members": "select tag, array_to_string(list(doc_id order by doc_id desc), ',') as names from (select unnest([lang, source]) as tag, doc_id from documents) group by tag",
         "tag_stats": "select count(*) as n, sum(least(n_chars, 512))::bigint as bytes, 0::bigint as corrupt from documents",
         "json_field_count": "select json_extract_string(props, '$.k')::bigint as k, count(*) as n from events group by 1",
@@ -347,13 +291,7 @@ select *, 'added' as change from (select * from b except all select * from a) un
 c as (select doc_id, n, i // 4096 as block, substr(h, 2 * i + 1, 2) as byte, count(*) as k from y group by all), t as (select *, sum(k) over (partition by doc_id, block) as total from c)
 select doc_id::varchar as path, block, block * 4096 as "begin", least((block + 1) * 4096, any_value(n)) as "end", round(-sum(k / total * log2(k / total)), 5) as entropy from t group by doc_id, block""",
         "printable_strings": "select doc_id::varchar as path, count(*) as n, sum(length(s))::bigint as bytes from (select doc_id, unnest(regexp_extract_all(text, '[ -~]{6,}')) as s from documents) group by doc_id",
-        "memory_last_turn": "select conv_id, arg_max(text, turn) as text, max(turn) as turn from conversations group by conv_id",
         "civil_time": f"select event_id, strftime(ts, '%Y-%m-%d %H:%M') || ' UTC' as time, {secs} as seconds, 'd' || ({secs} // 86400) || strftime(ts, ' %H:%M') as day from events",
         "html_escape": f"select page_id, {esc} as escaped from pages",
-        "mime_by_ext": f"select p_partkey, {mime} as ct from part",
         "safe_names": "select page_id, translate(url, ' /:', '___') as event, translate(url, '/\\', '__') as file, trim(' <' || url || '> ', '<> ') as address, false as safe from pages",
-        "entropy_text": "with c as (select doc_id, length(text) as total, unnest(string_split(text, '')) as c from documents where length(text) > 0), n as (select doc_id, total, c, count(*) as k from c group by all) select doc_id, round(-sum(k / total * log2(k / total)), 5) as entropy from n group by doc_id",
-        "body_hash": "select conv_id, turn, sha256(text) as hash from conversations",
-        "aes_round_trip": "select conv_id, turn, text from conversations",
-        "addressee": "select event_id from events where event_id % 9 = 0 or user_id = 7",
     }

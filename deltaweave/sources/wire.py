@@ -226,23 +226,33 @@ def make_block(c: Container, writer: str, delta: dict, key: bytes | None = None,
 
 def append(raw: bytes, block: bytes, writer: str | None = None) -> bytes:
     """The container with one more block, which must be its writer's next one."""
+    return append_all(raw, [(block, writer)])
+
+
+def append_all(raw: bytes, blocks: list[tuple[bytes, str | None]]) -> bytes:
+    """The container with more blocks (block, writer), each its writer's next one; read and copied once."""
     c = read(raw)
-    if not is_delta(block):
-        raise WireError("not a block of changes")
-    own = block_header(block, "X-Writer-ID") or LOCAL
-    if writer is not None and own != writer:
-        raise WireError(f"block of {own}, not of {writer}")
-    seq, prev = block_header(block, "X-Delta-Seq"), block_header(block, "X-Prev-Hash")
-    if seq is None or not seq.isdigit() or prev is None:
-        raise WireError("a block without number or predecessor")
-    last, want = head(c, own)
-    if int(seq) != last + 1:
-        raise WireError(f"block {own}#{seq} where {last + 1} is next")
-    if prev != want:
-        raise WireError(f"block {own}#{seq} follows {prev}, not {want}")
     at = c.tail[-1]["off"] + c.tail[-1]["len"] if c.tail else c.tail_off
-    entries = [*c.tail, {"seq": int(seq), "writer": own, "off": at, "len": len(block), "hash": sha(block)}]
-    return raw[:at] + block + _closing(c.product, c.entity or "", c.base_hash, entries, at + len(block))
+    parts, entries, heads = [raw[:at]], list(c.tail), {}
+    for block, writer in blocks:
+        if not is_delta(block):
+            raise WireError("not a block of changes")
+        own = block_header(block, "X-Writer-ID") or LOCAL
+        if writer is not None and own != writer:
+            raise WireError(f"block of {own}, not of {writer}")
+        seq, prev = block_header(block, "X-Delta-Seq"), block_header(block, "X-Prev-Hash")
+        if seq is None or not seq.isdigit() or prev is None:
+            raise WireError("a block without number or predecessor")
+        last, want = heads[own] if own in heads else head(c, own)
+        if int(seq) != last + 1:
+            raise WireError(f"block {own}#{seq} where {last + 1} is next")
+        if prev != want:
+            raise WireError(f"block {own}#{seq} follows {prev}, not {want}")
+        entries.append({"seq": int(seq), "writer": own, "off": at, "len": len(block), "hash": sha(block)})
+        heads[own] = int(seq), entries[-1]["hash"]
+        parts.append(block)
+        at += len(block)
+    return b"".join(parts) + _closing(c.product, c.entity or "", c.base_hash, entries, at)
 
 
 def append_delta(raw: bytes, delta: dict, writer: str = LOCAL, key: bytes | None = None, seed: bytes | None = None) -> bytes:

@@ -39,13 +39,18 @@ def advance(head: tuple[int, str | None], waiting: dict[int, bytes], base_hash:
     return head, out, known
 
 
+def addressed(rows: DataFrame, entity: str, recipient: str = "recipient") -> DataFrame:
+    """The rows that are for an entity: those to it, to all, or to nobody in particular."""
+    return rows.where(F.col(recipient).isNull() | F.col(recipient).isin(entity, "*"))
+
+
 def pull(blocks: DataFrame, entity: str, base_hash: str | None = None) -> DataFrame:
     """OUT rows of a stream of blocks (recipient, writer, seq, block) for an entity: applied once each, in order; duplicates as known.
 
     Blocks for others are left out. base_hash is what a writer's first block
     must follow; None doesn't check that.
     """
-    mine = blocks.where(F.col("recipient").isNull() | F.col("recipient").isin(entity, "*")).select(F.lit(entity).alias("entity"), "writer", "seq", "block")
+    mine = addressed(blocks, entity).select(F.lit(entity).alias("entity"), "writer", "seq", "block")
 
     def f(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seq, head, held = state.get if state.exists else (0, None, "{}")
@@ -87,10 +92,15 @@ def append_to(path: str):
         rows = batch.where("status = 'applied'").orderBy("writer", "seq").toLocalIterator()
         with open(path, "rb") as file:
             raw = file.read()
+        # read once for each batch; the blocks are appended together
+        held = wire.read(raw)
+        heads: dict[str, int] = {}
+        new = []
         for r in rows:
-            if r.seq > wire.head(wire.read(raw), r.writer)[0]:
-                raw = wire.append(raw, bytes(r.block), r.writer)
-        wire.write_file(path, raw)
+            if r.seq > heads.setdefault(r.writer, wire.head(held, r.writer)[0]):
+                heads[r.writer] = r.seq
+                new.append((bytes(r.block), r.writer))
+        wire.write_file(path, wire.append_all(raw, new))
 
     return f
 
