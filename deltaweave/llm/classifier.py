@@ -153,7 +153,7 @@ def classify(docs: DataFrame, labels: DataFrame, limit: int = MAX_ROWS) -> DataF
 
     A text without a word (null, empty or blank) has null probabilities. A null
     or repeated doc_id is passed on. Without a labelled document all classes
-    are as likely. An empty table gives an empty one.
+    are as likely. A very long text is scored whole. An empty table gives an empty one.
     """
     rows = labelled(docs, labels, limit)
     model = train([r.text for r in rows], np.array([r.y for r in rows], dtype=np.int64)) if rows else Model(np.zeros((KINDS, CLASSES, BUCKETS), np.float32), np.zeros(CLASSES, np.float32))

@@ -29,7 +29,7 @@ U64 = X.U64
 #: Documents with a line from which on it stays in the first of them only.
 MIN_DOCS = 6
 #: Lines that are routed to a shard, about.
-SHARD_LINES = 1_000_000
+SHARD_LINES = 250_000
 GAMMA = 2.0
 
 

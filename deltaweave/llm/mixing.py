@@ -75,8 +75,9 @@ def mix(docs: DataFrame, percent: int = PERCENT, epochs: int = EPOCHS, seed: int
     empty strings; a null text has no tokens. Documents without tokens fit
     wherever their place in the order is still within the budget, and a leaf
     without tokens passes all its documents once. Rows that repeat a doc_id, or
-    have none, share a place in the order and go or stay together. An empty
-    table gives an empty one.
+    have none, share a place in the order and go or stay together. A very long
+    text is one document of that many tokens, and fits only where they do. An
+    empty table gives an empty one.
     """
     pos, names = positional(docs)
     text = F.col(column(names, "text")).cast("string")
