@@ -29,7 +29,7 @@ from .frames import column, positional
 #: The model file; read by each worker, so it must be at this place on all of them.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose pieces a worker remembers; beyond, it starts to remember anew.
-REMEMBER = 200_000
+REMEMBER = 100_000
 MARK = "▁"
 
 
@@ -317,7 +317,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, charsmap: bytes | None
     model = Model.of(path, charsmap)
     for batch in batches:
         data, offsets = X.strings(batch.column(1))
-        for i, j in X.pieces(offsets, 1 << 19):
+        for i, j in X.pieces(offsets, 1 << 18):
             ids, b, e, bounds, norm, off = model.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             got, got_off = model.decode(ids, bounds)
             want, want_off = unescape(norm, off, model.spec)

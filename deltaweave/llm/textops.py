@@ -20,7 +20,7 @@ PRIME = (1 << 31) - 1
 BASES = (1_220_703_133, 1_815_976_681)
 #: Bytes whose products with powers add up to less than 2**64.
 _SAFE = 1 << 22
-_powers: dict[tuple[int, int], np.ndarray] = {}
+_powers: dict[int, np.ndarray] = {}
 
 
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -62,10 +62,10 @@ def _reduced(x: np.ndarray) -> np.ndarray:
 
 def powers(base: int, n: int) -> np.ndarray:
     """base**i modulo PRIME, for i below n at least."""
-    have = _powers.get((base, 0), np.ones(1, dtype=np.uint64))
-    while len(have) < n or len(have) < 1 << 20:
-        have = np.append(have, _reduced(have * U64(pow(base, len(have), PRIME))))
-        _powers[base, 0] = have
+    have = _powers.get(base, np.ones(1, dtype=np.uint32))
+    while len(have) < n:
+        have = np.append(have, _reduced(have * U64(pow(base, len(have), PRIME))).astype(np.uint32))
+        _powers[base] = have
     return have
 
 
@@ -96,7 +96,7 @@ def to_strings(data: np.ndarray, offsets: np.ndarray, mask: np.ndarray | None =
     return out.cast(pa.string()) if offsets[-1] < 2**31 - 1 else out
 
 
-def pieces(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts, each of about limit bytes or of one longer text."""
     i, n = 0, len(offsets) - 1
     while i < n:
