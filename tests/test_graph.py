@@ -157,3 +157,32 @@ def test_regions_equal_a_fold(spark):
             want.append((p, a, b, e, kind))
     got = binary.regions(spark.createDataFrame(rows, "path string, block bigint, begin bigint, end bigint, entropy double")).orderBy("path", "begin").collect()
     assert [(*r[:3], round(r[3], 9), r[4]) for r in got] == [(*w[:3], round(w[3], 9), w[4]) for w in want]
+
+
+def test_calls_see_ten_lines_back():
+    body = ["mov rdi,rax", "mov esi,0x5", *["nop"] * 8, "call 1 <a>", "call 1 <b>", "call 1 <a>", "mov rdx,rbx", "call 1 <c>"]
+    got = graph.parse_listing("\n".join(["0 <f>:", *body]))[0]
+    every = list(enumerate(graph.REGISTERS))
+    assert got["sites"] == [("a", [(1, "0x5"), (0, "rax")]), ("b", [(1, "0x5")]), ("a", every), ("c", [(2, "rbx")])] and got["callees"] == ["a", "b", "c"]
+    assert all(args == graph.call_arguments(body[:at]) for (_, args), at in zip(got["sites"], (10, 11, 12, 14), strict=True))
+
+
+def test_parsed_batches_are_bounded(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(graph, "BATCH_ROWS", 4)
+    rows = pa.RecordBatch.from_pydict({"binary": ["b", None, "c"], "listing": ["".join(f"0 <f{i}>:\ncall 1 <g>\n" for i in range(9)), None, "0 <h>:\n" + "x" * 99]})
+    got = list(graph.parsed_batches(iter([rows])))
+    assert [x.num_rows for x in got] == [4, 4, 2] and [n for x in got for n in x["name"].to_pylist()] == [*[f"f{i}" for i in range(9)], "h"]
+    assert got[2].to_pylist()[1] == {"binary": "c", "name": "h", "listing": "x" * 99, "lines": 1, "callees": [], "sites": []}
+    monkeypatch.setattr(graph, "BATCH_CHARS", 10)
+    assert [x.num_rows for x in graph.parsed_batches(iter([rows]))] == [1] * 10
+
+
+def test_callees_are_parsed_once(spark, data, parsed, capsys):
+    from deltaweave.plans.queries import queries
+
+    queries()["listing_callees"](spark, data).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1 and "Join" not in plan
+    assert sorted(map(tuple, graph.own_callees(parsed).collect())) == sorted(map(tuple, graph.callees(parsed, graph.call_edges(parsed)).collect()))
