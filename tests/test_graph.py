@@ -186,3 +186,14 @@ def test_callees_are_parsed_once(spark, data, parsed, capsys):
     plan = capsys.readouterr().out
     assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1 and "Join" not in plan
     assert sorted(map(tuple, graph.own_callees(parsed).collect())) == sorted(map(tuple, graph.callees(parsed, graph.call_edges(parsed)).collect()))
+
+
+def test_a_source_is_followed_once_a_function(monkeypatch):
+    import pyarrow as pa
+
+    body = ["mov QWORD PTR [rbp-0x8],rdi", "mov rsi,rax", *[f"call 1 <g{i}>" for i in range(9)], "nop", "mov rax,QWORD PTR [rbp-0x8]"]
+    parsed = list(graph.parsed_batches(iter([pa.RecordBatch.from_pydict({"binary": ["b"] * 2, "listing": ["\n".join(["0 <f>:", *body]), "0 <none>:\nret"]})])))
+    walks, walk = [], graph.parameter_of
+    monkeypatch.setattr(graph, "parameter_of", lambda *a: walks.append(a[1]) or walk(*a))
+    got = [x for b in graph.passed_batches(b.select(["name", "listing", "sites"]) for b in parsed) for x in b.to_pylist()]
+    assert walks == ["rax"] and got == [{"caller": "f", "callee": f"g{i}", "callee_arg": 1, "caller_arg": 0} for i in range(9)]
