@@ -213,12 +213,18 @@ def json_or_empty(col: Column) -> Column:
 
 def normalised_lines(listing: Column) -> Column:
     """A disassembly without what moves when it is built anew: addresses, bytes, comments, call targets, offsets from rip."""
-    last = lambda x: F.trim(F.element_at(F.split(x, "\t"), -1))
-    no_note = lambda x: F.regexp_replace(x, r"(?s) #.*$", "")
-    no_target = lambda x: F.regexp_replace(x, r"(?<!\S)[0-9A-Fa-f]+(?=\s+<)", "")
-    no_rip = lambda x: F.regexp_replace(x, r"\[rip[+-]\s*(0x)*[0-9A-Fa-f]+\s*\]", "[rip+ADDR]")
-    lines = F.filter(F.transform(F.split(listing, r"\r?\n"), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: F.length(x) > 0)
-    return F.array_join(F.transform(lines, lambda x: no_rip(no_target(no_note(last(x))))), "\n")
+    having = lambda sign, f: lambda x: F.when(F.contains(x, F.lit(sign)), f(x)).otherwise(x)
+    steps = [
+        lambda x: F.trim(F.substring_index(x, "\t", -1)),
+        having(" #", lambda x: F.regexp_replace(x, r"(?s) #.*$", "")),
+        having("<", lambda x: F.regexp_replace(x, r"(?<!\S)[0-9A-Fa-f]++(?=\s+<)", "")),
+        having("[rip", lambda x: F.regexp_replace(x, r"\[rip[+-]\s*(0x)*[0-9A-Fa-f]+\s*\]", "[rip+ADDR]")),
+    ]
+    # a pass for each step, so that no value is computed twice; carriage returns before line ends are trimmed
+    lines = F.filter(F.transform(F.split(listing, "\n"), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: F.length(x) > 0)
+    for step in steps:
+        lines = F.transform(lines, step)
+    return F.array_join(lines, "\n")
 
 
 def body_hash(listing: Column) -> Column:

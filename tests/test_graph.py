@@ -197,3 +197,13 @@ def test_a_source_is_followed_once_a_function(monkeypatch):
     monkeypatch.setattr(graph, "parameter_of", lambda *a: walks.append(a[1]) or walk(*a))
     got = [x for b in graph.passed_batches(b.select(["name", "listing", "sites"]) for b in parsed) for x in b.to_pylist()]
     assert walks == ["rax"] and got == [{"caller": "f", "callee": f"g{i}", "callee_arg": 1, "caller_arg": 0} for i in range(9)]
+
+
+def test_normalising_computes_no_value_twice(spark):
+    from deltaweave.functions.text import normalised_lines
+
+    t = "a\t1000 <f>\r\n\r\n \t55\tjmp  1f0 <f+0x3>  # note <s>\n10:\tlea rdi,[rip+0x0x1f ] \n[rip-9]\tx  dead <g> beef\n # all\n deadbeef\t<h>\nlast\r\r"
+    df = spark.createDataFrame([(t,), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(normalised_lines(df.t)).collect()] == [" <f>\njmp   <f+0x3> \nlea rdi,[rip+ADDR]\nx   <g> beef\n# all\n<h>\nlast", None, ""]
+    plan = df.select(normalised_lines(df.t))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace(" in plan and "regexp_replace(regexp_replace" not in plan and "element_at(split(" not in plan
