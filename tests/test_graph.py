@@ -207,3 +207,10 @@ def test_normalising_computes_no_value_twice(spark):
     assert [r[0] for r in df.select(normalised_lines(df.t)).collect()] == [" <f>\njmp   <f+0x3> \nlea rdi,[rip+ADDR]\nx   <g> beef\n# all\n<h>\nlast", None, ""]
     plan = df.select(normalised_lines(df.t))._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace(" in plan and "regexp_replace(regexp_replace" not in plan and "element_at(split(" not in plan
+
+
+def test_recurring_instructions_are_lifted_once():
+    lift._remembered.cache_clear()
+    body = ["1:\tPUSH rbp", "2:\tcall 10 <f>", "3:\tmov rax,rdi", "4:\tcall", "5:\tcallq 0x1"] * 3
+    assert lift.linear(body) == ["push rbp;", "f(...);", "rax = rdi;", "?(...);", "/* callq 0x1 */"] * 3
+    assert lift._remembered.cache_info()[:2] == (6, 3)  # calls, whose targets differ, take no room
