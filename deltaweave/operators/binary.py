@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 BLOCK, LEAST_STRING, LEAST_RUN = 4096, 6, 3
 PLAIN, CODE = 4.5, 7.5
+#: Blocks of a task that sorts them; a file's blocks stay together.
+TASK_BLOCKS = 500_000
 _PRINTABLE = re.compile(rb"[\x20-\x7e]{%d,}" % LEAST_STRING)
 
 
@@ -46,6 +48,11 @@ def block_entropy(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(f, "path string, block bigint, begin bigint, end bigint, entropy double")
 
 
+def spread(blocks: DataFrame, rows: int) -> DataFrame:
+    """blocks by path over as many tasks as hold TASK_BLOCKS each, whatever the session's number of partitions; windows by path move nothing after that."""
+    return blocks.repartition(max(-(-rows // TASK_BLOCKS), blocks.sparkSession.sparkContext.defaultParallelism), "path")
+
+
 def regions(blocks: DataFrame) -> DataFrame:
     """(path, begin, end, entropy, class): neighbouring blocks of one class as one region; its value is halved with each next block's."""
     kind = F.when(F.col("entropy") < PLAIN, "plain").when(F.col("entropy") < CODE, "code").otherwise("compressed")

@@ -214,3 +214,13 @@ def test_recurring_instructions_are_lifted_once():
     body = ["1:\tPUSH rbp", "2:\tcall 10 <f>", "3:\tmov rax,rdi", "4:\tcall", "5:\tcallq 0x1"] * 3
     assert lift.linear(body) == ["push rbp;", "f(...);", "rax = rdi;", "?(...);", "/* callq 0x1 */"] * 3
     assert lift._remembered.cache_info()[:2] == (6, 3)  # calls, whose targets differ, take no room
+
+
+def test_tasks_of_regions_grow_with_the_blocks(spark, data, monkeypatch, capsys):
+    from deltaweave.plans.queries import queries
+
+    monkeypatch.setattr(binary, "TASK_BLOCKS", 100)
+    n = -(-spark.read.parquet(f"{data}/lineitem.parquet").count() // 100)
+    queries()["entropy_regions"](spark, data).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and f", {n}), REPARTITION_BY_NUM" in plan
