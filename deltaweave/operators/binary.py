@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,18 +15,39 @@ BLOCK, LEAST_STRING, LEAST_RUN = 4096, 6, 3
 PLAIN, CODE = 4.5, 7.5
 #: Blocks of a task that sorts them; a file's blocks stay together.
 TASK_BLOCKS = 500_000
+#: Strings, and their characters, of a batch that is handed on.
+BATCH_ROWS, BATCH_CHARS = 10_000, 1 << 22
 _PRINTABLE = re.compile(rb"[\x20-\x7e]{%d,}" % LEAST_STRING)
 
 
-def strings(files: DataFrame) -> DataFrame:
-    """(path, off, len, text): runs of printable ASCII."""
+def string_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """strings of batches of (path, content), in batches of BATCH_ROWS strings or, but for the last one, BATCH_CHARS characters; one file at a time is looked through."""
+    schema = pa.schema([("path", pa.string()), ("off", pa.int64()), ("len", pa.int64()), ("text", pa.string())])
+    out: list[list] = [[], [], [], []]
+    chars = 0
 
-    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [(p, m.start(), len(m[0]), m[0].decode()) for p, raw in zip(pdf["path"], pdf["content"], strict=True) for m in _PRINTABLE.finditer(bytes(raw))]
-            yield pd.DataFrame(out, columns=["path", "off", "len", "text"])
+    def taken() -> pa.RecordBatch:
+        nonlocal out, chars
+        got, out, chars = out, [[], [], [], []], 0
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(got, schema, strict=True)], schema=schema)
 
-    return files.select("path", "content").mapInPandas(f, "path string, off bigint, len bigint, text string")
+    for batch in batches:
+        for p, raw in zip(batch.column(0), batch.column(1), strict=True):
+            path = p.as_py()
+            for m in _PRINTABLE.finditer(raw.as_buffer() or b""):
+                text = m[0].decode()
+                for column, x in zip(out, (path, m.start(), len(text), text), strict=True):
+                    column.append(x)
+                chars += len(text) + len(path or "")
+                if len(out[0]) >= BATCH_ROWS or chars >= BATCH_CHARS:
+                    yield taken()
+    if out[0]:
+        yield taken()
+
+
+def strings(files: DataFrame) -> DataFrame:
+    """(path, off, len, text): runs of printable ASCII."""
+    return files.select("path", "content").mapInArrow(string_batches, "path string, off bigint, len bigint, text string")
 
 
 def entropy(block: bytes) -> float:

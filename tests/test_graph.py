@@ -224,3 +224,15 @@ def test_tasks_of_regions_grow_with_the_blocks(spark, data, monkeypatch, capsys)
     queries()["entropy_regions"](spark, data).explain()
     plan = capsys.readouterr().out
     assert plan.count("Exchange") == 1 and f", {n}), REPARTITION_BY_NUM" in plan
+
+
+def test_string_batches_are_bounded(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(binary, "BATCH_ROWS", 3)
+    rows = pa.RecordBatch.from_pydict({"path": ["a", "b", None, "c"], "content": [b"abcdef\n" * 5, b"", b"12345\xff1234567", b"x" * 90]})
+    got = list(binary.string_batches(iter([rows, rows.slice(3)])))
+    every = [*[("a", 7 * i, 6, "abcdef") for i in range(5)], (None, 6, 7, "1234567"), ("c", 0, 90, "x" * 90), ("c", 0, 90, "x" * 90)]
+    assert [b.num_rows for b in got] == [3, 3, 2] and [tuple(r.values()) for b in got for r in b.to_pylist()] == every
+    monkeypatch.setattr(binary, "BATCH_CHARS", 12)
+    assert [tuple(r.values()) for b in binary.string_batches(iter([rows, rows.slice(3)])) for r in b.to_pylist()] == every
